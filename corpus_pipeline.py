@@ -1,4 +1,66 @@
-STAGES = []
+"""The corpus pipeline: each stage takes what the one before kept, and its decisions take effect."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, common, decontam, langid, minhash, toxicity
+
+#: Margin between the best and the second language under which a text is rejected.
+LANGUAGE_MARGIN = 0.02
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels, common.id_remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.keep(docs, model)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by a clear margin."""
+    content = langid.learn(docs.select("doc_id", "text", "lang"), common.id_remainder(F.col("doc_id"), 3) != 1)
+    return langid.keep(docs, content, LANGUAGE_MARGIN)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies (five-word shingles, similarity 0.8)."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with the digest of the bytes decoded from them."""
+    found = bpe.tokenize(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_identified),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("tokens", encode),
+]
+
+#: Learned scores, compression sizes and token ids are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
-def run(spark, d):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again."""
+    scratch = common.Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    steps = STAGES[:-1]
+    docs = reduce(lambda d, step: scratch.keep(step[1](spark, d, sf_dir), step[0]), steps, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

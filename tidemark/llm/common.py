@@ -69,3 +69,14 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _keep(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], at: int) -> Iterator[pa.RecordBatch]:
+    keep = make()
+    for batch in slices(batches):
+        yield batch.filter(pa.array([bool(keep(x)) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable], column: str) -> DataFrame:
+    """The rows of df for whose column the function that make() returns is true; all columns pass untouched."""
+    return df.mapInArrow(partial(_keep, make=make, at=df.columns.index(column)), df.schema)

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import keep_rows, map_rows
 
-Q = 8
+Q = 12
 #: Edits allowed per character of an item.
-RATE = 0.10
+RATE = 0.08
 #: Characters of items a block may hold.
 BLOCK_CHARS = 2_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -43,42 +43,47 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every q-gram, by doubling."""
+    """A 64-bit hash of every 12-gram, from those of shorter ones."""
     if len(points) < Q:
         return np.empty(0, np.uint64)
-    h, step = points.astype(np.uint64) + np.uint64(1), 1
-    base = np.uint64(0x9E3779B97F4A7C15)
-    while step < Q:  # Q is a power of two
-        h = h[:-step] * base + h[step:]
-        base = np.uint64((int(base) * int(base) + 2 * step + 1) % 2**64)
-        step *= 2
+    a = np.uint64(0x9E3779B97F4A7C15)
+    one = points.astype(np.uint64) + np.uint64(1)
+    two = one[:-1] * a + one[1:]
+    four = two[:-2] * (a ^ (a >> np.uint64(7))) + two[2:]
+    eight = four[:-4] * (a ^ (a >> np.uint64(13))) + four[4:]
+    h = eight[:-4] * (a ^ (a >> np.uint64(19))) + four[8:]
     h ^= h >> np.uint64(31)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def budget(m: int) -> int:
-    """Edits allowed in an item of m characters; the lemma's bound stays positive."""
-    return max(0, min(int(m * RATE), (m - Q) // Q))
-
-
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits of the whole item against the text on diagonals low..high, and the text position it ends at."""
-    width, m, n = high - low + 1, len(item), len(text)
-    far = m + 1
-    at = np.arange(low, high + 1)
-    row = np.where((at >= 0) & (at <= n), 0, far)
-    order = np.arange(width)
-    padded = np.concatenate([text, [0xFFFFFFFF]])
-    for i in range(1, m + 1):
-        j = at + i  # text characters consumed
-        inside = (j >= 1) & (j <= n)
-        same = padded[np.where(inside, j - 1, n)] == item[i - 1]
-        best = np.minimum(row + ~same, np.append(row[1:], far) + 1)
-        best = np.where((j >= 0) & (j <= n), np.where(inside, best, np.append(row[1:], far) + 1), far)
-        row = np.minimum(np.minimum.accumulate(best - order) + order, far)
-        row[(j < 0) | (j > n)] = far
-    k = int(row.argmin())
-    return int(row[k]), int(at[k]) + m
+    """Edits allowed in an item of m characters: so few that at least 15 % of its q-grams must remain."""
+    return max(0, min(int(m * RATE), int(0.85 * (m - Q + 1) / Q)))
+
+
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
+    """Least edits of the whole item against the text on diagonals low..high, and the text position it ends at.
+
+    None if that takes more than `most` edits, which unrelated stretches show after a few rows.
+    """
+    width, m = high - low + 1, len(item)
+    off = most + 1
+    # the text's characters that the band can touch, fenced by a character that no item holds
+    window = np.full(width + m, 0xFFFFFFFF, np.uint32)
+    begin, end = max(0, low), min(len(text), high + m)
+    if end <= begin:
+        return None
+    window[begin - low : end - low] = text[begin:end]
+    row = np.zeros(width + 1, np.int32)
+    row[width] = off
+    order = np.arange(width, dtype=np.int32)
+    for i in range(m):
+        best = np.minimum(row[:-1] + (window[i : i + width] != item[i]), row[1:] + 1)
+        row[:-1] = np.minimum.accumulate(best - order) + order
+        if row[:-1].min() > most:
+            return None
+    k = int(row[:-1].argmin())
+    return int(row[k]), min(len(text), low + k + m)
 
 
 class Index:
@@ -102,7 +107,7 @@ class Index:
         self.filter[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, text position it ends at, edits) of every item that occurs."""
+        """(item id, position it ends at in the normalised text, edits) of every item that occurs, once each, fullest band first."""
         points = codes(normalise(text))
         h = grams(points)
         if not len(h) or not len(self.keys):
@@ -123,16 +128,22 @@ class Index:
         band = np.floor_divide(diagonal, stride)
         shift = len(points) + int(self.sizes.max()) + 2
         key = item * (2 * shift) + band + shift
-        bands, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # each diagonal is in two bands
-        hot = counts >= self.need[bands // (2 * shift)]
-        best: dict[int, tuple[int, int]] = {}
-        for b in bands[hot].tolist():
+        doubled, place = np.concatenate([key, key - 1]), np.tile(self.place[slot], 2)  # each diagonal is in two bands
+        order = np.argsort(doubled, kind="stable")
+        doubled, place = doubled[order], place[order]
+        first = np.flatnonzero(np.append(True, doubled[1:] != doubled[:-1]))
+        counts = np.diff(np.append(first, len(doubled)))
+        hot = np.flatnonzero(counts >= self.need[doubled[first] // (2 * shift)])
+        found: dict[int, tuple[int, int]] = {}
+        for x in hot[np.argsort(-counts[hot], kind="stable")].tolist():
+            b = int(doubled[first[x]])
             k, which = b // (2 * shift), b % (2 * shift) - shift
-            s, e = int(self.edits[k]) + 1, int(self.edits[k])
-            edits, end = align(self.points[k], points, which * s - e, which * s + 2 * s + e)
-            if edits <= e and (k not in best or edits < best[k][0]):
-                best[k] = (edits, end)
-        return [(self.ids[k], end, edits) for k, (edits, end) in sorted(best.items())]
+            if k in found or len(np.unique(place[first[x] : first[x] + counts[x]])) < self.need[k]:
+                continue
+            e = int(self.edits[k])
+            if (seen := align(self.points[k], points, which * (e + 1) - e, (which + 2) * (e + 1) + e, e)) is not None:
+                found[k] = seen
+        return [(self.ids[k], end, edits) for k, (edits, end) in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -160,3 +171,16 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h[0])))
     return out.select(key, (F.size("hits") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_min(F.transform("hits", lambda h: h[2])).alias("least_edits"), F.transform("hits", lambda h: h[1]).alias("ends"))
 
+
+
+def keep(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """df without the rows whose text holds an item; blocks of items filter one after another."""
+    for block in _blocks(benchmark, item, item_text):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def make(shared=shared):
+            index = Index(shared.value)
+            return lambda t: not (t and index.search(t))
+
+        df = keep_rows(df, make, text)
+    return df

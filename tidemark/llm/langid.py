@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_draw, map_rows
+from tidemark.llm.common import id_draw, keep_rows, map_rows
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of a block that is encoded at a time, and of a dictionary.
@@ -92,3 +92,18 @@ def identify(df: DataFrame, content: dict[str, bytes], min_margin: float = 0.0,
         return row
 
     return map_rows(df.select(key, text), make, schema)
+
+
+def keep(df: DataFrame, content: dict[str, bytes], min_margin: float, text: str = "text") -> DataFrame:
+    """df without the rows that have no language, or one by too narrow a margin."""
+
+    def make():
+        model = Classifier(content)
+
+        def told(t):
+            name, _, margin = model.classify(t)
+            return name != "und" and margin >= min_margin
+
+        return told
+
+    return keep_rows(df, make, text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import id_draw, map_rows, slices
+from tidemark.llm.common import id_draw, keep_rows, map_rows, slices
 
 #: Word lists. Fixed values.
 THREATS = "kill hurt destroy attack beat shoot stab punish burn töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
@@ -261,4 +261,11 @@ def rate(df: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id
     return map_rows(df.select(key, text), make, schema)
 
 
-__all__ = ["Model", "Scorer", "Transducer", "compose", "grammar", "learn", "rate"]
+def keep(df: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """df without the rows whose text scores threshold or more."""
+
+    def make():
+        scorer = Scorer(model)
+        return lambda t: scorer.score(t) < threshold
+
+    return keep_rows(df, make, text)
