@@ -40,7 +40,7 @@ from tidemark.llm.common import Scratch, slices
 
 COORDINATES = 64
 #: Classes a tile holds of either side.
-TILE = 128
+TILE = 512
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
