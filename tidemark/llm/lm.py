@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, slices
+from tidemark.llm.common import Scratch, largest, slices
 
 #: The end token; no word is empty.
 END = b""
@@ -236,12 +236,12 @@ def score(docs: DataFrame, train: Column, words: int = 4096, arcs: int = 100_000
     s = counted.where("total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("n1"), F.count_if(F.col("total") == 2).alias("n2")).first()
     n1, n2 = s["n1"], s["n2"]
     totals = Totals(s["n"] or 0, s["v"], min(0.95, max(0.1, n1 / (n1 + 2 * n2)))) if n1 + n2 else Totals(s["n"] or 0, s["v"], 0.5)
-    frequent = counted.where("total > 0").orderBy(F.desc("total"), "word").limit(words).collect()
+    frequent = sorted(largest(counted, "total", words), key=lambda r: (-r["total"], bytes(r["word"])))
     own = {bytes(r["word"]): k for k, r in enumerate(frequent)}
     machine = Automaton(own)
     if own:
         grams = rows.where("train").select("text").mapInArrow(partial(_grams, own=own), T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())]))
-        top = grams.groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "gram").limit(arcs).collect()
+        top = largest(scratch.keep(grams.groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2"), "grams"), "c", arcs)
         n = len(own)
         two = {(r["gram"] // n, r["gram"] % n): r["c"] for r in top if r["gram"] < n * n}
         three = {((r["gram"] - n * n) // (n * n), (r["gram"] - n * n) // n % n, (r["gram"] - n * n) % n): r["c"] for r in top if r["gram"] >= n * n}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import id_draw, keep_rows, map_rows, slices
+from tidemark.llm.common import Scratch, id_draw, keep_rows, largest, map_rows, slices
 
 #: Word lists. Fixed values.
 THREATS = "kill hurt destroy attack beat shoot stab punish burn töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
@@ -221,10 +221,9 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
         return Model(fixed, [1.0] * GRADES)
     counted = sample.mapInArrow(_count, T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())]))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    evidence = F.col("toxic") * odds
-    best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
+    best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds).withColumn("evidence", F.col("toxic") * F.col("odds"))
     least = max(3, bad // 1000)
-    top = best.where((F.col("toxic") >= least) & (F.col("odds") > 2.0)).orderBy(evidence.desc(), "word").limit(entries).collect()
+    top = largest(Scratch(documents.sparkSession, "toxicity").keep(best.where((F.col("toxic") >= least) & (F.col("odds") > 2.0)), "words"), "evidence", entries)
     picked = {r["word"]: (r["odds"], r["toxic"]) for r in top}
     # a longer stem or word whose stem says as much adds nothing
     lean = {w: v for w, v in picked.items() if not any(f"{w.rstrip('*')[:k]}*" in picked and picked[f"{w.rstrip('*')[:k]}*"][0] >= v[0] - 0.7 for k in STEMS if k < len(w.rstrip("*")))}
