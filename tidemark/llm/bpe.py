@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import map_rows
 
 _NONE = 1 << 62
-#: Pieces a task remembers; then it starts anew.
-CACHED = 300_000
+#: Pieces that each of a worker's two generations remembers.
+CACHED = 150_000
+_PACK = [struct.Struct(f"<{k}I") for k in range(65)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,33 +49,38 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     for i in range(width - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        i += width
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            a = a if a < b else b
-            if tree[i] == a:
-                break
-            tree[i] = a
-
+    after, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), ranks.get
     while (top := tree[1]) != _NONE:
         at = top % n
         right = after[at]
         end = after[right]
         after[at] = end
+        here = there = _NONE
         if end < n:
             before[end] = at
-        put(right, _NONE) if right < n - 1 else None
-        rank = ranks.get(piece[at : after[end]]) if end < n else None
-        put(at, _NONE if rank is None else rank * n + at)
+            rank = get(piece[at : after[end]])
+            if rank is not None:
+                here = rank * n + at
         left = before[at]
         if left >= 0:
-            rank = ranks.get(piece[left:end])
-            put(left, _NONE if rank is None else rank * n + left)
+            rank = get(piece[left:end])
+            if rank is not None:
+                there = rank * n + left
+        for i, value in ((right, _NONE), (at, here), (left, there)):
+            if i < 0 or i >= width:
+                continue
+            i += width
+            if tree[i] == value:
+                continue
+            tree[i] = value
+            while i > 1:  # the lesser of two siblings goes up, until nothing changes
+                beside = tree[i ^ 1]
+                if beside < value:
+                    value = beside
+                i >>= 1
+                if tree[i] == value:
+                    break
+                tree[i] = value
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : after[at]]])
@@ -82,17 +89,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Ids(dict):
-    """Packed little-endian ids by piece."""
+    """Packed little-endian ids by piece, in two generations: what the old one still serves is kept."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = _PACK[len(found)].pack(*found) if len(found) < len(_PACK) else np.array(found, "<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHED:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -115,6 +126,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+_LAST: list[Codec] = []
+
+
+def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+    """The worker's codec; a reused worker process goes on with the pieces it has seen."""
+    if not _LAST or _LAST[0].ids.ranks != ranks or _LAST[0].pieces.pattern != pattern:
+        _LAST[:] = [Codec(ranks, pattern)]
+    return _LAST[0]
+
+
 def tokenize(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids (packed) and the bytes decoded from them, per row."""
     schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
@@ -142,7 +163,7 @@ def _with_codec(df: DataFrame, path: str, pattern: str, row: Callable) -> Callab
     shared = df.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def make():
-        codec = Codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern)
         return lambda k, t: row(codec, k, t)
 
     return make
