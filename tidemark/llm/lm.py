@@ -11,8 +11,8 @@ contexts, and each state's failure arc carries the backoff weight to its suffix.
 right carries the state and adds log probabilities. Each state's probabilities sum to one.
 
 Defined cases: null and empty texts are the end token alone; without training texts every score is 0 and
-nothing is known; repeated rows are scored and counted as often as they are there; ids of any kind only
-decide what is held out (a null id trains).
+nothing is known; repeated rows are scored and counted as often as they are there; ids only
+decide what is held out (in the query, a null id has remainder 0).
 """
 
 from __future__ import annotations

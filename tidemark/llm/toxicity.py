@@ -239,6 +239,8 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
         return lambda text, toxic: (scorer.features(text), toxic)
 
     seen = map_rows(sample, make, schema).groupBy("f", "toxic").count().collect()  # max_rows rows at most
+    if len({r["toxic"] for r in seen}) < 2:  # labels whose documents are not there
+        return model
     x, y = np.array([r["f"] for r in seen for _ in range(r["count"])]), np.array([r["toxic"] for r in seen for _ in range(r["count"])], float)
     model.coefficients = _fit(x, y)
     return model
