@@ -157,27 +157,50 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
+#: Codes that a task gathers before it merges them, and distinct ones that it holds.
+GATHERED, HELD = 1_000_000, 1_500_000
+
+
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their summed counts."""
+    code, count = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
+    return code[first], np.add.reduceat(count[order], first) if len(first) else count
+
+
 def _grams(batches: Iterator[pa.RecordBatch], own: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """Counts of the pairs and triples of frequent words, as numbers."""
     n = len(own)
-    total: Counter = Counter()
+    held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    new: list[np.ndarray] = []
+
+    def fold() -> None:
+        nonlocal held
+        held = _merged([held[0], *new], [held[1], *[np.ones(len(x), np.int64) for x in new]])
+        new.clear()
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["gram", "c"])
+
     for batch in slices(batches):
-        keys = []
+        words: list[bytes] = []
         for text in batch.column(0).to_pylist():
-            words = tokens(text)
-            ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
-            pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            code = ids[:-1] * n + ids[1:]
-            keys.append(code[pair])
-            if len(ids) > 2:
-                triple = pair[:-1] & pair[1:]
-                keys.append((ids[:-2] * n * n + ids[1:-1] * n + ids[2:] + n * n)[triple])
-        codes, counts = np.unique(np.concatenate(keys), return_counts=True)
-        total.update(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
-        if len(total) > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["gram", "c"])
-            total = Counter()
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["gram", "c"])
+            words += tokens(text)
+            words += (None, None)  # no n-gram reaches over a text's end
+        ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
+        pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        new.append((ids[:-1] * n + ids[1:])[pair])
+        triple = pair[:-1] & pair[1:]
+        new.append((ids[:-2] * n * n + ids[1:-1] * n + ids[2:] + n * n)[triple])
+        if sum(map(len, new)) > GATHERED:
+            fold()
+            if len(held[0]) > HELD:
+                yield rows()
+                held = (np.empty(0, np.int64), np.empty(0, np.int64))
+    fold()
+    yield rows()
 
 
 _SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
@@ -214,7 +237,10 @@ def _score(texts: pa.Table, vocabulary: pa.Table, totals: Totals, machine: Autom
     for doc_id, text, train in zip(*[texts.column(k).to_pylist() for k in ("doc_id", "text", "train")], strict=True):
         said = tokens(text)
         at = np.fromiter(map(index.__getitem__, said), np.int64, len(said))
-        out.append((doc_id, not train, len(said), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()) + machine.walk(ids[at].tolist())))
+        own_ids = ids[at]
+        told = own_ids >= 0
+        told[1:] |= own_ids[:-1] >= 0  # the automaton rests at its root through a run of words without an id
+        out.append((doc_id, not train, len(said), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()) + machine.walk(own_ids[told].tolist())))
     columns = list(zip(*out, strict=True)) if out else [()] * 6
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=_SCORES.names)
