@@ -190,3 +190,14 @@ def test_upsert_stream_admits_late_rows(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
         upsert_stream(stream(), store, "mart.latest", ["k"], "received", str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted((r["k"], r["v"]) for r in store.read("mart.latest").collect()) == [("a", 3), ("b", 2), ("c", 4)]
+
+
+def test_merge_is_admission_then_replacement(spark):
+    from tidemark.operators import upsert
+
+    schema = "k string, received date, v int"
+    held = spark.createDataFrame([("a", date(2025, 3, 1), 1), ("b", date(2025, 3, 1), 2), ("d", date(2025, 3, 1), 7)], schema)
+    batch = spark.createDataFrame([("a", date(2025, 3, 1), 9), ("b", date(2025, 3, 2), 3), ("b", date(2025, 3, 4), 5), ("c", None, 4), ("d", None, 8)], schema)
+    admitted = upsert.latest_per_key(upsert.admit_newer(batch, held, ["k"], "received"), ["k"], [F.desc("received")])
+    want = held.join(admitted.select("k"), "k", "left_anti").unionByName(admitted)
+    assert rows(upsert.merge_latest(held, batch, ["k"], "received")) == rows(want)

@@ -29,13 +29,21 @@ def fold_snapshot(history: DataFrame | None, state: DataFrame, key: str, checked
     opened = state.withColumns({"valid_from": at, "valid_to": F.lit(None).cast("timestamp_ntz")})
     if history is None:
         return opened
-    current = history.where(F.col("valid_to").isNull())
+    # one full join, so that a chain of folds reads each history once
+    own = state.columns
+    h, s = history.alias("h"), state.alias("s")
+    met = h.join(s, (F.col(f"h.{key}") == F.col(f"s.{key}")) & F.col("h.valid_to").isNull(), "full")
     mine, theirs = F.struct(*[F.col(f"h.{c}") for c in checked]), F.struct(*[F.col(f"s.{c}") for c in checked])
-    changed = current.alias("h").join(state.alias("s"), F.col(f"h.{key}") == F.col(f"s.{key}"), "inner").where(~mine.eqNullSafe(theirs)).select(F.col(f"h.{key}").alias("_changed"))
-    marked = history.join(changed, (history[key] == changed["_changed"]) & history["valid_to"].isNull(), "left")
-    kept = marked.withColumn("valid_to", F.when(F.col("_changed").isNotNull(), at).otherwise(F.col("valid_to"))).drop("_changed")
-    unchanged = current.join(changed, current[key] == changed["_changed"], "left_anti").select(key)
-    return kept.unionByName(opened.join(unchanged, key, "left_anti"))
+
+    def version(side: str, start: Column, end: Column) -> Column:
+        return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in own], start.alias("valid_from"), end.alias("valid_to"))
+
+    kept = version("h", F.col("h.valid_from"), F.col("h.valid_to"))
+    closed = version("h", F.col("h.valid_from"), at)
+    new = version("s", at, F.lit(None).cast("timestamp_ntz"))
+    absent, unseen = F.col("h.valid_from").isNull(), F.col(f"s.{key}").isNull()
+    rows = F.when(absent, F.array(new)).when(unseen | mine.eqNullSafe(theirs), F.array(kept)).otherwise(F.array(closed, new))
+    return met.select(F.explode(rows).alias("v")).select("v.*")
 
 
 def versions_of(states: DataFrame, key: str, checked: list[str], at: str) -> DataFrame:

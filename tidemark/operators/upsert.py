@@ -24,6 +24,10 @@ def admit_newer(batch: DataFrame, held: DataFrame, keys: list[str], received: st
 
 
 def merge_latest(held: DataFrame, batch: DataFrame, keys: list[str], received: str, ties: list[Column] = ()) -> DataFrame:
-    """One incremental build: admit, collapse to the latest arrival, replace by key."""
-    newest = latest_per_key(admit_newer(batch, held, keys, received), keys, [F.col(received).desc(), *ties])
-    return held.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+    """One incremental build: per key the latest arrival, where a held row gives way to a strictly later one only.
+
+    The same rows as admitting by admit_newer, collapsing and replacing by key, in one pass over each side.
+    """
+    both = held.withColumn("_held", F.lit(1)).unionByName(batch.withColumn("_held", F.lit(0)))
+    order = [F.col(received).desc_nulls_last(), F.desc("_held"), *ties]
+    return latest_per_key(both, keys, order).drop("_held")
