@@ -260,3 +260,9 @@ def test_toxicity(spark, wide, nothing):
     assert toxicity.rate(wide, model).count() == len(DOCS)
     empty = toxicity.learn(nothing, labels.limit(0), F.lit(True))
     assert toxicity.rate(nothing, empty).count() == 0 and toxicity.keep(wide, empty).columns == wide.columns
+
+
+def test_licences_match_sql(spark):
+    from tests.oracle import compare
+
+    assert compare(spark, queries.QUERIES["op8_license"], queries.ORACLES["op8_license"], "/root/testdata/sf0.01") == 1000

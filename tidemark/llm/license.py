@@ -107,3 +107,23 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     zero, blank = F.lit(0).cast("long"), F.lit("")
     return out.select(key, "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", blank).alias("base_labels"), F.coalesce("labels", blank).alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def sql() -> str:
+    """The same scan as DuckDB SQL over `documents`."""
+    rows = [(True, label, phrase) for phrase, label in PHRASES.items()] + [(False, label, text) for label, text in TEMPLATES]
+    values = ", ".join(f"({k}, {phrase}, '{label}', string_split('{text}', ' '))" for k, (phrase, label, text) in enumerate(rows))
+    return rf"""WITH tpl(tid, phrase, label, w) AS (VALUES {values}),
+ tg AS (SELECT tid, phrase, label, len(w) - 1 AS pairs, k - 1 AS tpos, w[k] || ' ' || w[k + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tpl)),
+ d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ dg AS (SELECT doc_id, k - 1 AS pos, w[k] || ' ' || w[k + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d)),
+ v AS (SELECT doc_id, tid, phrase, label, pairs, pos - tpos AS diag, count(DISTINCT pos) AS votes, min(pos) AS first FROM dg JOIN tg USING (g) GROUP BY ALL),
+ whole AS (SELECT doc_id, label, first, 1.0::double AS cover FROM v WHERE phrase AND votes = pairs),
+ stepped AS (SELECT *, lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS prev FROM v WHERE NOT phrase),
+ islands AS (SELECT *, sum(CASE WHEN diag - prev <= {NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS grp FROM stepped),
+ kept AS (SELECT doc_id, label, least(1.0::double, sum(votes)::double / pairs) AS cover FROM islands GROUP BY doc_id, tid, label, pairs, grp HAVING sum(votes) >= ceil({COVER}::double * pairs)),
+ every AS (SELECT doc_id, label, first, cover FROM whole UNION ALL SELECT doc_id, label, NULL, cover FROM kept),
+ per AS (SELECT doc_id, count(first) AS n_base, min(first) AS first_word, max(first) AS last_word,
+   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (first IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM every GROUP BY 1)
+ SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::double) AS score
+ FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
