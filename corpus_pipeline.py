@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, common, decontam, langid, minhash, toxicity
 
 #: Margin between the best and the second language under which a text is rejected.
-LANGUAGE_MARGIN = 0.02
+LANGUAGE_MARGIN = 0.005
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

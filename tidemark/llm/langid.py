@@ -2,17 +2,19 @@
 
 Training takes a bounded sample of labelled rows (`per_language` rows by hash of id, `piece` characters
 of each); their texts become one raw-content dictionary per language. A text is encoded whole, in blocks
-short enough that the dictionary and not the text itself decides, once per language; sizes are summed.
+short enough that the dictionary and not the text itself decides, once per language; sizes are summed. Where the two least sizes are within 2 % (texts of a few words, which
+zstandard stores as they are), the code lengths of an ideal coder primed with the same dictionaries decide.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language
-first in order; a text whose margin is under `min_margin` of its size is marked rejected but still
+Defined cases: null texts and texts without a letter are `und` with score 0; remaining ties go to the
+language first in order; a text whose margin is under `min_margin` of its size is marked rejected but still
 named; no training rows make every text `und`; rows with a null language teach nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import zstandard
@@ -24,6 +26,8 @@ from tidemark.llm.common import id_draw, keep_rows, map_rows
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of a block that is encoded at a time, and of a dictionary.
 BLOCK, DICTIONARY = 2048, 196_608
+#: Margin under which sizes in whole bytes do not decide.
+NARROW = 0.02
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -48,11 +52,25 @@ def learn(df: DataFrame, train: Column, lang: str = "lang", per_language: int =
     return {name: "\n".join(letters(t) for _, _, t in sorted(p)).encode()[:DICTIONARY] for name, p in sorted(parts.items())}
 
 
+class CodeLength:
+    """Bits that an ideal arithmetic coder needs, by character triples of a dictionary's content."""
+
+    def __init__(self, content: str) -> None:
+        self.triples = Counter(map("".join, zip(content, content[1:], content[2:], strict=False)))
+        self.pairs = Counter(map("".join, zip(content, content[1:], strict=False)))
+
+    def bits(self, text: str) -> float:
+        """Over the whole text; each context leaves room for 64 characters."""
+        padded = f"  {text} "
+        return -sum(math.log2((self.triples[padded[k : k + 3]] + 0.25) / (self.pairs[padded[k : k + 2]] + 16.0)) for k in range(len(padded) - 2))
+
+
 class Classifier:
     """Sizes of a text under each language's dictionary."""
 
     def __init__(self, content: dict[str, bytes], level: int = 6) -> None:
         self.names = sorted(content)
+        self.lengths = [CodeLength(content[name].decode(errors="ignore")) for name in self.names]
         self.coders = []
         for name in self.names:
             dictionary = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -75,6 +93,11 @@ class Classifier:
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best, second = sizes[order[0]], sizes[order[1]]
         margin = (second - best) / max(best, 1)
+        if margin < NARROW:  # whole bytes tie on a text too short to compress
+            plain = letters(text).strip()
+            exact = [m.bits(plain) for m in self.lengths]
+            order = sorted(range(len(exact)), key=lambda k: (exact[k], k))
+            margin = (exact[order[1]] - exact[order[0]]) / max(exact[order[0]], 1.0)
         return self.names[order[0]], min(1.0, 0.5 + 4 * margin), margin
 
 
