@@ -112,6 +112,47 @@ def test_automaton_sums_to_one_and_matches_backoff():
         assert abs(sum(10**x for x in last) + 10**unknown - 1) < 1e-9
 
 
+def test_scores_match_plain_backoff(spark):
+    """Counts, admission by share and scores of the whole query path, without an automaton."""
+    rows = texts()
+    word_share, gram_share, d2 = 2e-4, 5e-5, 0.6
+    said = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    learned = [ws for i, ws in said.items() if zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for ws in learned for w in ws)
+    n = sum(one.values())
+    often = {w for w, c in one.items() if c >= word_share * n}
+    grams = Counter(ws[k : k + size] for ws in map(tuple, learned) for size in (2, 3) for k in range(len(ws) - size + 1))
+    grams = {g: c for g, c in grams.items() if c >= max(3, gram_share * n) and often.issuperset(g)}
+    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
+    d1 = min(0.95, max(0.1, once / (once + 2 * twice)))
+    heads = {g[:1] for g in grams if len(g) == 2}
+    after = {}
+    for g, c in grams.items():
+        if len(g) == 2 or (g[:2] in grams and g[1:2] in heads):
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    rest = {}
+
+    def p(w, context):
+        if not context:
+            return (one[w] - d1 if one[w] else d1 * len(one)) / n
+        found = after.get(context)
+        if found is None:
+            return p(w, context[1:])
+        total = one[context[0]] if len(context) == 1 else grams[context]
+        if w in found:
+            return (found[w] - d2) / total
+        if context not in rest:
+            rest[context] = (1 - sum(c - d2 for c in found.values()) / total) / (1 - sum(p(x, context[1:]) for x in found))
+        return rest[context] * p(w, context[1:])
+
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), queries.common.id_remainder(F.col("doc_id"), 10) != 0, word_share, gram_share)
+    assert len(grams) > 500 and max(map(len, after)) == 2
+    for r in got.collect():
+        ws = said[r["doc_id"]]
+        want = sum(math.log10(p(w, tuple(ws[max(0, k - 2) : k]))) for k, w in enumerate(ws))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 def test_model_beats_its_base(spark):
     rows = queries.QUERIES["op4_lm"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]

@@ -5,10 +5,13 @@ bounded size, each chunk lists its distinct words, the lists meet the totals by
 their chunk with the counts, so neither a vocabulary nor its statistics pass through the driver.
 
 The model is an n-gram model of order three with absolute discounting. Order one holds every word; what it
-discounts is the probability of an unknown word. Higher orders hold the n-grams of `words` frequent words,
-at most `arcs` of them, counted over all training texts; they become arcs of an automaton whose states are
-contexts, and each state's failure arc carries the backoff weight to its suffix. One pass from left to
-right carries the state and adds log probabilities. Each state's probabilities sum to one.
+discounts is the probability of an unknown word. Higher orders hold every n-gram that makes up at least
+`gram_share` of all training tokens and whose words make up at least `word_share` of them each, counted over
+all training texts. Shares, unlike numbers of entries, mean the same at every size, and still bound what is
+broadcast: 1 / word_share words and 1 / gram_share n-grams an order can reach them. N-grams become arcs of
+an automaton whose states are contexts, and each state's failure arc carries the backoff weight to its
+suffix. One pass from left to right carries the state and adds log probabilities. Each state's
+probabilities sum to one.
 
 Defined cases: null and empty texts are the end token alone; without training texts every score is 0 and
 nothing is known; repeated rows are scored and counted as often as they are there; ids only
@@ -29,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, largest, slices
+from tidemark.llm.common import Scratch, slices
 
 #: The end token; no word is empty.
 END = b""
 CHUNK_BYTES = 8 << 20
+#: Occurrences that an n-gram needs however small the corpus is.
+LEAST = 3
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -246,7 +251,7 @@ def _score(texts: pa.Table, vocabulary: pa.Table, totals: Totals, machine: Autom
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=_SCORES.names)
 
 
-def score(docs: DataFrame, train: Column, words: int = 4096, arcs: int = 100_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, word_share: float = 2e-5, gram_share: float = 5e-7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row. train: the rows to learn from."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -262,19 +267,21 @@ def score(docs: DataFrame, train: Column, words: int = 4096, arcs: int = 100_000
     s = counted.where("total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("n1"), F.count_if(F.col("total") == 2).alias("n2")).first()
     n1, n2 = s["n1"], s["n2"]
     totals = Totals(s["n"] or 0, s["v"], min(0.95, max(0.1, n1 / (n1 + 2 * n2)))) if n1 + n2 else Totals(s["n"] or 0, s["v"], 0.5)
-    frequent = sorted(largest(counted, "total", words), key=lambda r: (-r["total"], bytes(r["word"])))
+    often = counted.where(F.col("total") >= max(1.0, word_share * totals.n)).collect()  # 1 / word_share rows at most
+    frequent = sorted(often, key=lambda r: (-r["total"], bytes(r["word"])))
     own = {bytes(r["word"]): k for k, r in enumerate(frequent)}
     machine = Automaton(own)
     if own:
         grams = rows.where("train").select("text").mapInArrow(partial(_grams, own=own), T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())]))
-        top = largest(scratch.keep(grams.groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2"), "grams"), "c", arcs)
+        enough = F.col("c") >= max(float(LEAST), gram_share * totals.n)
+        top = grams.groupBy("gram").agg(F.sum("c").alias("c")).where(enough).collect()  # 1 / gram_share rows an order at most
         n = len(own)
         two = {(r["gram"] // n, r["gram"] % n): r["c"] for r in top if r["gram"] < n * n}
         three = {((r["gram"] - n * n) // (n * n), (r["gram"] - n * n) // n % n, (r["gram"] - n * n) % n): r["c"] for r in top if r["gram"] >= n * n}
         counts = np.array([r["total"] for r in frequent], np.float64)
         machine = build(own, totals.own(counts).tolist(), [r["total"] for r in frequent], two, three)
     known = vocabulary.select("chunk", "word").join(counted, "word").select("chunk", "word", "total")
-    shared = spark.sparkContext.broadcast((totals, machine))  # bounded by words and arcs
+    shared = spark.sparkContext.broadcast((totals, machine))  # bounded by the shares
     both = dealt.groupBy("chunk").cogroup(known.groupBy("chunk"))
     out = both.applyInArrow(lambda a, b: _score(a, b, *shared.value), _SCORES)
     return out.withColumn("train_tokens", F.lit(totals.n).cast("long"))
