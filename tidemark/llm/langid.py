@@ -2,8 +2,9 @@
 
 Training takes a bounded sample of labelled rows (`per_language` rows by hash of id, `piece` characters
 of each); their texts become one raw-content dictionary per language. A text is encoded whole, in blocks
-short enough that the dictionary and not the text itself decides, once per language; sizes are summed. Where the two least sizes are within 2 % (texts of a few words, which
-zstandard stores as they are), the code lengths of an ideal coder primed with the same dictionaries decide.
+short enough that the dictionary and not the text itself decides, once per language; sizes are summed.
+Where the two least sizes are within 2 % (texts of a few words, which zstandard stores as they are), the
+code lengths of an ideal coder primed with the same dictionaries decide.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; remaining ties go to the
 language first in order; a text whose margin is under `min_margin` of its size is marked rejected but still
