@@ -153,6 +153,17 @@ def test_scores_match_plain_backoff(spark):
         assert math.isclose(r["score"], want, rel_tol=1e-9)
 
 
+def test_rare_ngrams_of_a_large_corpus_are_held(spark, monkeypatch):
+    """What is seen LEAST times enters the higher orders, however many tokens there are, and whichever chunks hold it."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 60_000)
+    filler = " ".join(f"w{k % 97}" for k in range(20_000))
+    rows = [(k, filler) for k in range(10)] + [(20 + k, "rare ngram here") for k in range(3)] + [(40, "rare ngram here")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40).collect()}
+    n, d1 = 200_000 + 10 + 4 * 3, 0.5
+    want = math.log10((3 - d1) / n) + 3 * math.log10((3 - 0.6) / 3)
+    assert n == 200_022 and math.isclose(got[40], want, rel_tol=1e-9) and got[40] == got[20]
+
+
 def test_model_beats_its_base(spark):
     rows = queries.QUERIES["op4_lm"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]

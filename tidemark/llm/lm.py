@@ -1,17 +1,19 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Every word is counted over all training texts. The counts stay distributed: texts are dealt into chunks of
-bounded size, each chunk lists its distinct words, the lists meet the totals by word, and come back to
-their chunk with the counts, so neither a vocabulary nor its statistics pass through the driver.
+Every word and n-gram is counted over all training texts. The counts stay distributed: texts are dealt into
+chunks of bounded size, each chunk lists its distinct words, pairs and triples, the lists meet the totals,
+and come back to their chunk with the counts, so neither a vocabulary, nor n-grams, nor their statistics
+pass through the driver.
 
 The model is an n-gram model of order three with absolute discounting. Order one holds every word; what it
-discounts is the probability of an unknown word. Higher orders hold every n-gram that makes up at least
-`gram_share` of all training tokens and whose words make up at least `word_share` of them each, counted over
-all training texts. Shares, unlike numbers of entries, mean the same at every size, and still bound what is
-broadcast: 1 / word_share words and 1 / gram_share n-grams an order can reach them. N-grams become arcs of
-an automaton whose states are contexts, and each state's failure arc carries the backoff weight to its
-suffix. One pass from left to right carries the state and adds log probabilities. Each state's
-probabilities sum to one.
+discounts is the probability of an unknown word. Higher orders hold every n-gram that training texts hold
+`LEAST` times or more, a constant number, so they grow with the input. (`word_share` and `gram_share` ask
+for a share of all training tokens as well; they are 0 unless given.) A context's backoff weight is summed
+over all n-grams that continue it, wherever they are. Each chunk's n-grams become arcs of its automaton,
+whose states are contexts, and each state's failure arc carries the backoff weight to its suffix. One pass
+from left to right carries the state and adds log probabilities. Each state's probabilities sum to one.
+
+An n-gram is named by its context and its suffix: two words' 60-bit hashes, or those of two pairs.
 
 Defined cases: null and empty texts are the end token alone; without training texts every score is 0 and
 nothing is known; repeated rows are scored and counted as often as they are there; ids only
@@ -20,15 +22,16 @@ decide what is held out (in the query, a null id has remainder 0).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +40,10 @@ from tidemark.llm.common import Scratch, slices
 #: The end token; no word is empty.
 END = b""
 CHUNK_BYTES = 8 << 20
-#: Occurrences that an n-gram needs however small the corpus is.
+#: Occurrences that an n-gram needs, at every size.
 LEAST = 3
+#: What absolute discounting takes from an n-gram.
+DISCOUNT = 0.6
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,7 +97,7 @@ class Automaton:
         return total
 
 
-def build(own: dict[bytes, int], log_p: list[float], counts: list[int], two: dict[tuple[int, int], int], three: dict[tuple[int, int, int], int], discount: float = 0.6) -> Automaton:
+def build(own: dict[bytes, int], log_p: list[float], counts: list[int], two: dict[tuple[int, int], int], three: dict[tuple[int, int, int], int], discount: float = DISCOUNT) -> Automaton:
     """An automaton from n-gram counts. Arc weights are relative to the word's own log probability."""
     p1 = [10.0**x for x in log_p]
     after: dict[int, dict[int, float]] = defaultdict(dict)
@@ -162,50 +167,99 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-#: Codes that a task gathers before it merges them, and distinct ones that it holds.
-GATHERED, HELD = 1_000_000, 1_500_000
+def named(word: bytes) -> int:
+    """A word's hash; `_named` is the same on columns."""
+    return int(hashlib.md5(word).hexdigest()[:15], 16)
+
+
+def _named(word: Column) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes with their summed counts."""
-    code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
-    return code[first], np.add.reduceat(count[order], first) if len(first) else count
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of pairs of words; `_paired` is the same on columns."""
+    b = b.view(np.uint64)
+    return (a.view(np.uint64) ^ (b << np.uint64(17)) ^ (b >> np.uint64(47))).view(np.int64)
 
 
-def _grams(batches: Iterator[pa.RecordBatch], own: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Counts of the pairs and triples of frequent words, as numbers."""
-    n = len(own)
-    held = (np.empty(0, np.int64), np.empty(0, np.int64))
-    new: list[np.ndarray] = []
+def _paired(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(F.shiftleft(b, 17)).bitwiseXOR(F.shiftrightunsigned(b, 47))
 
-    def fold() -> None:
-        nonlocal held
-        held = _merged([held[0], *new], [held[1], *[np.ones(len(x), np.int64) for x in new]])
-        new.clear()
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["gram", "c"])
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs and triples of each chunk with their training counts. Rows come sorted by chunk."""
+    key, index, texts = None, {}, []
+
+    def listed(size: int, context: np.ndarray, low: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(c), 100_000):
+            part = slice(k, k + 100_000)
+            n = len(c[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int32)), pa.array(np.full(n, size, np.int8)), pa.array(context[part]), pa.array(low[part]), pa.array(c[part])], names=["chunk", "size", "context", "low", "c"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        ids, n = np.concatenate([x for x, _ in texts]), len(index)
+        train = np.concatenate([np.full(len(x), t) for x, t in texts])
+        within = np.ones(len(ids), bool)  # a next word is there: no n-gram reaches over a text's end
+        within[np.cumsum([len(x) for x, _ in texts]) - 1] = False
+        names = np.fromiter(map(named, index), np.int64, n)
+        at = np.flatnonzero(within)
+        pairs, of = np.unique(ids[at] * n + ids[at + 1], return_inverse=True)
+        first, last = names[pairs // n], names[pairs % n]
+        yield from listed(2, first, last, np.bincount(of, train[at], len(pairs)).astype(np.int64))
+        names = paired(first, last)
+        double = np.flatnonzero(at[1:] == at[:-1] + 1)
+        triples, where = np.unique(of[double] * len(pairs) + of[double + 1], return_inverse=True)
+        if len(triples):
+            yield from listed(3, names[triples // len(pairs)], names[triples % len(pairs)], np.bincount(where, train[at[double]], len(triples)).astype(np.int64))
 
     for batch in slices(batches):
-        words: list[bytes] = []
-        for text in batch.column(0).to_pylist():
-            words += tokens(text)
-            words += (None, None)  # no n-gram reaches over a text's end
-        ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
-        pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        new.append((ids[:-1] * n + ids[1:])[pair])
-        triple = pair[:-1] & pair[1:]
-        new.append((ids[:-2] * n * n + ids[1:-1] * n + ids[2:] + n * n)[triple])
-        if sum(map(len, new)) > GATHERED:
-            fold()
-            if len(held[0]) > HELD:
-                yield rows()
-                held = (np.empty(0, np.int64), np.empty(0, np.int64))
-    fold()
-    yield rows()
+        for chunk, text, train in zip(*[batch.column(c).to_pylist() for c in ("chunk", "text", "train")], strict=True):
+            if chunk != key:
+                if texts:
+                    yield from done()
+                key, index, texts = chunk, {}, []
+            said = tokens(text)
+            texts.append((np.fromiter((index.setdefault(w, len(index)) for w in said), np.int64, len(said)), train))
+    if texts:
+        yield from done()
+
+
+_GRAMS = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("size", T.ByteType()), T.StructField("context", T.LongType()), T.StructField("low", T.LongType()), T.StructField("c", T.LongType())])
+
+
+def _found(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in names, -1 for what is not there."""
+    if not len(names):
+        return np.full(len(wanted), -1)
+    order = np.argsort(names, kind="stable")
+    at = order[np.minimum(np.searchsorted(names[order], wanted), len(names) - 1)]
+    return np.where(names[at] == wanted, at, -1)
+
+
+def assemble(words: list[bytes], log_p: np.ndarray, counts: np.ndarray, word_rest: np.ndarray, least: float, size: np.ndarray, context: np.ndarray, low: np.ndarray, c: np.ndarray, rest: np.ndarray) -> Automaton:
+    """The automaton of one chunk's n-grams. rest: backoff weights of words and pairs, NaN for what no n-gram continues."""
+    names = np.fromiter(map(named, words), np.int64, len(words))
+    two, three = size == 2, size == 3
+    h, w = _found(names, context[two]), _found(names, low[two])
+    kept = (h >= 0) & (w >= 0) & (counts[h] >= least) & (counts[w] >= least)
+    h, w, c2, rest2, pair = h[kept], w[kept], c[two][kept], rest[two][kept], paired(context[two], low[two])[kept]
+    before, after = _found(pair, context[three]), _found(pair, low[three])
+    kept = (before >= 0) & (after >= 0)
+    before, after, c3 = before[kept], after[kept], c[three][kept]
+    state1, state2 = np.zeros(len(words), np.int64), np.zeros(len(pair), np.int64)
+    one, deep = np.flatnonzero(~np.isnan(word_rest)), np.flatnonzero(~np.isnan(rest2))
+    state1[one] = 1 + np.arange(len(one))
+    state2[deep] = 1 + len(one) + np.arange(len(deep))
+    fail = [(0, 0.0), *[(0, x) for x in np.log10(word_rest[one]).tolist()], *zip(state1[w[deep]].tolist(), np.log10(rest2[deep]).tolist(), strict=True)]
+    arcs: list[dict[int, tuple[int, float]]] = [{} for _ in fail]
+    target = np.where(state2 > 0, state2, state1[w])
+    for at, word, to, weight in zip(state1[h].tolist(), w.tolist(), target.tolist(), (np.log10((c2 - DISCOUNT) / counts[h]) - log_p[w]).tolist(), strict=True):
+        arcs[at][word] = (to, weight)
+    for at, word, to, weight in zip(state2[before].tolist(), w[after].tolist(), target[after].tolist(), (np.log10((c3 - DISCOUNT) / c2[before]) - log_p[w[after]]).tolist(), strict=True):
+        arcs[at][word] = (to, weight)
+    for word, to in zip(one.tolist(), state1[one].tolist(), strict=True):
+        arcs[0][word] = (to, 0.0)
+    return Automaton({words[k]: k for k in np.unique(np.concatenate([h, w])).tolist()}, arcs, fail)
 
 
 _SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
@@ -231,12 +285,16 @@ class Totals:
         return np.log10(np.where(c > 0, c - self.discount, self.discount * self.v) / self.n)
 
 
-def _score(texts: pa.Table, vocabulary: pa.Table, totals: Totals, machine: Automaton) -> pa.Table:
-    """One chunk: its texts, and its words with their counts."""
+def _score(texts: pa.Table, known: pa.Table, totals: Totals, least: float) -> pa.Table:
+    """One chunk: its texts, and its words and n-grams with their counts."""
+    word = known.column("word").is_valid()
+    vocabulary, grams = known.filter(word), known.filter(pc.invert(word))
     words = vocabulary.column("word").to_pylist()
     index = dict(zip(words, range(len(words)), strict=True))
     c = vocabulary.column("total").to_numpy().astype(np.float64)
     base, own = totals.base(c), totals.own(c)
+    weights = [pc.fill_null(x.column("rest"), math.nan).to_numpy() for x in (vocabulary, grams)]
+    machine = assemble(words, own, c, weights[0], least, *[grams.column(k).to_numpy() for k in ("size", "context", "low", "total")], weights[1])
     ids = np.fromiter((machine.words.get(w, -1) for w in words), np.int32, len(words))
     out = []
     for doc_id, text, train in zip(*[texts.column(k).to_pylist() for k in ("doc_id", "text", "train")], strict=True):
@@ -251,7 +309,7 @@ def _score(texts: pa.Table, vocabulary: pa.Table, totals: Totals, machine: Autom
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=_SCORES.names)
 
 
-def score(docs: DataFrame, train: Column, word_share: float = 2e-5, gram_share: float = 5e-7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, word_share: float = 0.0, gram_share: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row. train: the rows to learn from."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -267,21 +325,28 @@ def score(docs: DataFrame, train: Column, word_share: float = 2e-5, gram_share:
     s = counted.where("total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("n1"), F.count_if(F.col("total") == 2).alias("n2")).first()
     n1, n2 = s["n1"], s["n2"]
     totals = Totals(s["n"] or 0, s["v"], min(0.95, max(0.1, n1 / (n1 + 2 * n2)))) if n1 + n2 else Totals(s["n"] or 0, s["v"], 0.5)
-    often = counted.where(F.col("total") >= max(1.0, word_share * totals.n)).collect()  # 1 / word_share rows at most
-    frequent = sorted(often, key=lambda r: (-r["total"], bytes(r["word"])))
-    own = {bytes(r["word"]): k for k, r in enumerate(frequent)}
-    machine = Automaton(own)
-    if own:
-        grams = rows.where("train").select("text").mapInArrow(partial(_grams, own=own), T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())]))
-        enough = F.col("c") >= max(float(LEAST), gram_share * totals.n)
-        top = grams.groupBy("gram").agg(F.sum("c").alias("c")).where(enough).collect()  # 1 / gram_share rows an order at most
-        n = len(own)
-        two = {(r["gram"] // n, r["gram"] % n): r["c"] for r in top if r["gram"] < n * n}
-        three = {((r["gram"] - n * n) // (n * n), (r["gram"] - n * n) // n % n, (r["gram"] - n * n) % n): r["c"] for r in top if r["gram"] >= n * n}
-        counts = np.array([r["total"] for r in frequent], np.float64)
-        machine = build(own, totals.own(counts).tolist(), [r["total"] for r in frequent], two, three)
-    known = vocabulary.select("chunk", "word").join(counted, "word").select("chunk", "word", "total")
-    shared = spark.sparkContext.broadcast((totals, machine))  # bounded by the shares
+    # an n-gram's lists meet at its hash; each goes back to its chunk with the total
+    grams = dealt.sortWithinPartitions("chunk").mapInArrow(_grams, _GRAMS)
+    same = Window.partitionBy("context", "low")
+    met = grams.withColumns({"total": F.sum("c").over(same), "first": F.min("chunk").over(same) == F.col("chunk")})
+    held = scratch.keep(met.where(F.col("total") >= max(float(LEAST), gram_share * totals.n)).drop("c"), "grams")
+    least = max(1.0, word_share * totals.n)
+    word = counted.where(F.col("total") >= least).select(_named(F.col("word")).alias("name"), F.col("total").alias("n"), ((F.col("total") - totals.discount) / max(totals.n, 1)).alias("p"))
+    once = held.where("first")
+    head, tail = word.select(F.col("name").alias("context"), "n"), word.select(F.col("name").alias("low"), "p")
+    two = scratch.keep(once.where("size = 2").join(head, "context").join(tail, "low").select(_paired(F.col("context"), F.col("low")).alias("pair"), "context", "total", "n", "p"), "pairs")
+    taken = F.sum(F.col("total") - DISCOUNT)
+    rest1 = two.groupBy("context").agg(((1 - taken / F.first("n")) / (1 - F.sum("p"))).alias("rest"))
+    low = two.select(F.col("pair").alias("low"), ((F.col("total") - DISCOUNT) / F.col("n")).alias("p"))
+    deep = once.where("size = 3").join(low, "low").groupBy("context").agg(taken.alias("taken"), F.sum("p").alias("p"))
+    rest2 = deep.join(two.select(F.col("pair").alias("context"), "total"), "context").select(F.col("context").alias("pair"), ((1 - F.col("taken") / F.col("total")) / (1 - F.col("p"))).alias("rest"))
+    weighed = counted.withColumn("context", _named(F.col("word"))).join(rest1, "context", "left").select("word", "total", "rest")
+    none = F.lit(None)
+    known = vocabulary.select("chunk", "word").join(weighed, "word").select("chunk", "word", "total", "rest", none.cast("byte").alias("size"), none.cast("long").alias("context"), none.cast("long").alias("low"))
+    pairs = held.where("size = 2").withColumn("pair", _paired(F.col("context"), F.col("low"))).join(rest2, "pair", "left")
+    triples = held.where("size = 3").withColumn("rest", none.cast("double"))
+    for part in (pairs, triples):
+        known = known.unionByName(part.select("chunk", none.cast("binary").alias("word"), "total", "rest", "size", "context", "low"))
     both = dealt.groupBy("chunk").cogroup(known.groupBy("chunk"))
-    out = both.applyInArrow(lambda a, b: _score(a, b, *shared.value), _SCORES)
+    out = both.applyInArrow(lambda a, b: _score(a, b, totals, least), _SCORES)
     return out.withColumn("train_tokens", F.lit(totals.n).cast("long"))
