@@ -262,6 +262,24 @@ def test_toxicity(spark, wide, nothing):
     assert toxicity.rate(nothing, empty).count() == 0 and toxicity.keep(wide, empty).columns == wide.columns
 
 
+def test_copies_of_a_long_toxic_text_teach_once(spark):
+    copied = " ".join(f"zq{k}rarely" for k in range(3_000))
+    rows = [(k, f"you zorble number{k} and more", 1) for k in range(40)] + [(100 + k, f"a kind word{k} and more", 0) for k in range(60)]
+    rows += [(1_000 + k, copied, 1) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert "zorb*" in model.lexicon and not any(w.startswith("zq1") and len(w) > 8 for w in model.lexicon)
+
+
+def test_every_word_with_evidence_is_an_entry(spark):
+    """As many as there are: 2,400 insults of as much evidence each."""
+    insults = [f"{a}{b}{c}" for a in "qxzvkjyw" for b in "aeioubcdfghlmnprst" for c in "aeioubcdfghlmnprst"][:2_400]
+    rows = [(k, f"number{k} " + " ".join(insults), 1) for k in range(5)] + [(10 + k, f"kind{k} words", 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert len(insults) == 2_400 and set(insults) <= model.lexicon.keys()
+
+
 def test_licences_match_sql(spark):
     from tests.oracle import compare
 

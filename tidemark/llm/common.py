@@ -80,20 +80,3 @@ def _keep(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], at: i
 def keep_rows(df: DataFrame, make: Callable[[], Callable], column: str) -> DataFrame:
     """The rows of df for whose column the function that make() returns is true; all columns pass untouched."""
     return df.mapInArrow(partial(_keep, make=make, at=df.columns.index(column)), df.schema)
-
-
-def largest(df: DataFrame, column: str, limit: int) -> list:
-    """Rows with the largest values (above 0) of a column, at most limit of them, cut where a value class ends.
-
-    A histogram of value classes finds the cut first, so only the rows returned reach the driver; an ordered
-    limit would send as many from every task.
-    """
-    value_class = F.floor(F.log2(F.col(column).cast("double")) * 64).cast("int")
-    classes = sorted(((r[0], r[1]) for r in df.where(F.col(column) > 0).groupBy(value_class.alias("k")).count().collect()), reverse=True)
-    cut, total = None, 0
-    for k, n in classes:
-        total += n
-        if total > limit:
-            break
-        cut = k
-    return [] if cut is None else df.where((F.col(column) > 0) & (value_class >= cut)).collect()

@@ -8,11 +8,12 @@ are composed into one deterministic machine; a text is cut into clauses, each cl
 or a threat runs through the machine, and only matched clauses score. Their sum, greatest value and
 number become a probability by a small logistic model.
 
-The insults and the model are learned from a bounded sample (`max_rows`) of labelled rows; threats,
-targets, negations and reporting verbs are short fixed lists in four languages.
+The insults and the model are learned from a bounded sample (`max_rows`) of labelled rows, in which each
+distinct text counts once; every word and stem of it that passes the test of evidence is an entry, save those
+whose stem says as much. Threats, targets, negations and reporting verbs are short fixed lists in four languages.
 
 Defined cases: null and empty texts have no clause and get the score of a text without matches; a row
-without a label teaches nothing; several labels of an id count as toxic if one is; ids are never inputs.
+without a label teaches nothing; several labels of an id or a text count as toxic if one is; ids are never inputs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, id_draw, keep_rows, largest, map_rows, slices
+from tidemark.llm.common import Scratch, id_draw, keep_rows, map_rows, slices
 
 #: Word lists. Fixed values.
 THREATS = "kill hurt destroy attack beat shoot stab punish burn töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
@@ -202,7 +203,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) ->
     return b.tolist()
 
 
-def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int = 16_000, entries: int = 2_000) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int = 16_000) -> Model:
     """Lexicon and logistic model from about max_rows labelled rows, drawn by hash of id.
 
     documents and labels meet by doc_id; the drawn labels are a table of bounded size.
@@ -214,16 +215,18 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
         return Model(fixed, [1.0] * GRADES)
     draw = id_draw(F.col("doc_id"), "toxicity")
     drawn = rated.where(draw < min(1.0, max_rows / n)).select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")  # max_rows rows, about
-    totals = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    scratch = Scratch(documents.sparkSession, "toxicity")
+    texts = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = scratch.keep(texts, "sample").repartition(64)  # max_rows rows, about
+    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model(fixed, [1.0] * GRADES)
     counted = sample.mapInArrow(_count, T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())]))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds).withColumn("evidence", F.col("toxic") * F.col("odds"))
+    best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
     least = max(3, bad // 1000)
-    top = largest(Scratch(documents.sparkSession, "toxicity").keep(best.where((F.col("toxic") >= least) & (F.col("odds") > 2.0)), "words"), "evidence", entries)
+    top = best.where((F.col("toxic") >= least) & (F.col("odds") > 2.0)).collect()  # words of `least` of the sample's texts
     picked = {r["word"]: (r["odds"], r["toxic"]) for r in top}
     # a longer stem or word whose stem says as much adds nothing
     lean = {w: v for w, v in picked.items() if not any(f"{w.rstrip('*')[:k]}*" in picked and picked[f"{w.rstrip('*')[:k]}*"][0] >= v[0] - 0.7 for k in STEMS if k < len(w.rstrip("*")))}
