@@ -198,6 +198,24 @@ def test_items_within_the_budget_are_found(data):
         assert bool(hits) == (edits(a, b) <= decontam.budget(len(a)))
 
 
+@pytest.mark.parametrize("m", [13, 25, 26, 38, 50, 63, 81, 88, 150, 217, 360, 1_000])
+def test_items_with_eight_percent_of_edits_are_found(m):
+    """Substitutions at even distances, which spoil the most q-grams."""
+    random.seed(m)
+    item = "".join(random.choice("abcdefghijklmnopq") for _ in range(m))
+    for e, want in ((int(0.08 * m), True), (int(0.08 * m) + 1, False)):
+        near = list(item)
+        for k in range(e):
+            near[(2 * k + 1) * m // (2 * e)] = "z"
+        found = decontam.Index([(1, item)]).search(f"xyw {''.join(near)} wyx")
+        assert [x[0] for x in found] == [1] * want and all(x[2] == e for x in found)
+
+
+def test_short_items_are_searched_exactly():
+    index = decontam.Index([(1, "To be"), (2, "o be"), (3, "x"), (4, "?!"), (5, "not to be,")])
+    assert index.search("To be, or not to be: taxes") == [(1, 5, 0), (5, 18, 0)] and index.search("an X.") == [(3, 4, 0)]
+
+
 def test_decontamination(spark, wide, nothing):
     found = {r["doc_id"]: r for r in queries.QUERIES["op5_decontamination"](spark, SF).collect()}
     items = [(i, decontam.normalise(t)) for i, t in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()]

@@ -4,10 +4,11 @@ Text and items are normalised to lower-case words, one space apart. An item of m
 a text with at most e edits shares at least m - q + 1 - q*e of its q-grams with it, on diagonals (text
 position minus item position) no more than e apart. So shared q-grams are counted per item in diagonal
 bands of width 2(e+1) that overlap by half; bands that reach the bound are verified by an alignment
-confined to the band. Items are the stated query set: they are taken in blocks of bounded size, and each
+confined to the band. q falls with an item's length, so that e can be 8 % of m and 15 % of the q-grams must
+still remain. Items of fewer than 12 characters, which allow no edit, are looked up as whole words. Items are the stated query set: they are taken in blocks of bounded size, and each
 block is held against all texts.
 
-Defined cases: null and empty texts are clean; null items and items of fewer than q characters are ignored;
+Defined cases: null and empty texts are clean; null items and items without a letter or digit are ignored;
 repeated items all report; repeated rows are each judged; an empty benchmark makes every text clean.
 """
 
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep_rows, map_rows
 
+#: Characters of the longest q-grams; shorter items are looked up whole.
 Q = 12
+#: Share of an item's q-grams that must remain.
+REMAIN = 0.15
 #: Edits allowed per character of an item.
 RATE = 0.08
 #: Characters of items a block may hold.
@@ -42,23 +46,34 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every 12-gram, from those of shorter ones."""
-    if len(points) < Q:
+def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of every q-gram, from those of shorter ones."""
+    n = len(points) - q + 1
+    if n < 1:
         return np.empty(0, np.uint64)
     a = np.uint64(0x9E3779B97F4A7C15)
-    one = points.astype(np.uint64) + np.uint64(1)
-    two = one[:-1] * a + one[1:]
-    four = two[:-2] * (a ^ (a >> np.uint64(7))) + two[2:]
-    eight = four[:-4] * (a ^ (a >> np.uint64(13))) + four[4:]
-    h = eight[:-4] * (a ^ (a >> np.uint64(19))) + four[8:]
+    part, width = points.astype(np.uint64) + np.uint64(1), 1
+    h, done = np.zeros(n, np.uint64), 0
+    while True:
+        salt = a ^ (a >> np.uint64(width))
+        if q & width:
+            h = h * salt + part[done : done + n]
+            done += width
+        if done == q:
+            break
+        part, width = part[:-width] * salt + part[width:], 2 * width
     h ^= h >> np.uint64(31)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def budget(m: int) -> int:
-    """Edits allowed in an item of m characters: so few that at least 15 % of its q-grams must remain."""
-    return max(0, min(int(m * RATE), int(0.85 * (m - Q + 1) / Q)))
+    """Edits allowed in an item of m characters."""
+    return int(m * RATE)
+
+
+def gram_size(m: int) -> int:
+    """The longest q, up to 12, of which `REMAIN` of an item's q-grams are left by its edits."""
+    return next(q for q in range(min(Q, m), 0, -1) if m - q + 1 - q * budget(m) >= max(1, REMAIN * (m - q + 1)))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -86,17 +101,59 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(row[k]), min(len(text), low + k + m)
 
 
+class Whole:
+    """Short items, by their words."""
+
+    def __init__(self, items: list[tuple[int, int, str]]) -> None:
+        self.items: dict[str, list[tuple[int, int]]] = {}
+        for place, i, t in items:
+            self.items.setdefault(t, []).append((place, i))
+        self.lengths = sorted({t.count(" ") + 1 for t in self.items})
+
+    def search(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(place, item id, end, edits) of every item that occurs, once each."""
+        words = text.split(" ")
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        found: dict[str, int] = {}
+        for n in self.lengths:
+            for k in range(len(words) - n + 1):
+                if (t := " ".join(words[k : k + n])) in self.items:
+                    found.setdefault(t, int(ends[k + n - 1]))
+        return [(place, i, end, 0) for t, end in found.items() for place, i in self.items[t]]
+
+
 class Index:
-    """q-grams of a block of items."""
+    """A block of items: short ones whole, the others by the size of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, codes(t)) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= Q]
-        self.ids = [i for i, _ in kept]
-        self.points = [p for _, p in kept]
+        kept: dict[int, list[tuple[int, int, str]]] = {}
+        for place, (i, t) in enumerate((i, normalise(t)) for i, t in items):
+            if t:
+                kept.setdefault(0 if len(t) < Q else gram_size(len(t)), []).append((place, i, t))
+        self.whole = Whole(kept.pop(0, []))
+        self.parts = [Grams(q, part) for q, part in sorted(kept.items())]
+
+    def search(self, text: str) -> list[tuple[int, int, int]]:
+        """(item id, position it ends at in the normalised text, edits) of every item that occurs, once each."""
+        plain = normalise(text)
+        found = self.whole.search(plain) if self.whole.items else []
+        points = codes(plain)
+        for part in self.parts:
+            found += part.search(points)
+        return [x[1:] for x in sorted(found)]
+
+
+class Grams:
+    """Items by q-grams of one size."""
+
+    def __init__(self, q: int, items: list[tuple[int, int, str]]) -> None:
+        self.q = q
+        self.names = [(place, i) for place, i, _ in items]
+        self.points = [codes(t) for _, _, t in items]
         self.sizes = np.array([len(p) for p in self.points], np.int64)
         self.edits = np.array([budget(len(p)) for p in self.points], np.int64)
-        self.need = np.maximum(1, self.sizes - Q + 1 - Q * self.edits)
-        hashes = [grams(p) for p in self.points]
+        self.need = np.maximum(1, self.sizes - q + 1 - q * self.edits)
+        hashes = [grams(p, q) for p in self.points]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
@@ -106,10 +163,9 @@ class Index:
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, position it ends at in the normalised text, edits) of every item that occurs, once each, fullest band first."""
-        points = codes(normalise(text))
-        h = grams(points)
+    def search(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(place, item id, end, edits) of every item that occurs, once each, fullest band first."""
+        h = grams(points, self.q)
         if not len(h) or not len(self.keys):
             return []
         pos = np.flatnonzero(self.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -143,7 +199,7 @@ class Index:
             e = int(self.edits[k])
             if (seen := align(self.points[k], points, which * (e + 1) - e, (which + 2) * (e + 1) + e, e)) is not None:
                 found[k] = seen
-        return [(self.ids[k], end, edits) for k, (edits, end) in sorted(found.items())]
+        return [(*self.names[k], end, edits) for k, (edits, end) in found.items()]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
