@@ -197,6 +197,20 @@ def test_main_text(page):
     assert html.extract(page) == PAGES[page]
 
 
+@pytest.mark.parametrize("times", [1, 5, 40, 400])
+@pytest.mark.parametrize("frame", ["<body><div id=page>{}</div></body>", "<body>{}</body>"])
+def test_title_and_lead_stay_however_long_the_body_is(times, frame):
+    body = ["One long paragraph of real text that goes on for a good while. " * 3] * times
+    page = frame.format(f"<h1>Title</h1><p>A lead.</p><div class=text>{''.join(f'<p>{b}</p>' for b in body)}</div>")
+    assert html.extract(page) == "\n".join(["Title", "A lead.", *map(str.strip, body)])
+
+
+def test_sibling_articles_are_all_kept():
+    texts = ["The first article is the longer one of the two and goes on. " * 9, "The second one is short.", "And a third."]
+    page = "<body><nav>Home</nav>" + "".join(f"<article><h2>Head {k}</h2><p>{t}</p></article>" for k, t in enumerate(texts)) + "<footer>(c)</footer></body>"
+    assert html.extract(page) == "\n".join(x for k, t in enumerate(texts) for x in (f"Head {k}", t.strip()))
+
+
 def test_pages_query(spark):
     rows = collected(queries.QUERIES["op9_html"](spark, SF))
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

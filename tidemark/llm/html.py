@@ -2,9 +2,9 @@
 
 The standard library's parser streams events. Each block element's text is a line with its ratio of text
 to tags; ratios are smoothed by a Gaussian, and lines above a threshold of their spread form clusters.
-The clusters vote for the element that holds the content (an article or main element, or else the
-deepest one with nearly all their text), and every line in it counts, short ones too, save those in
-elements that are never content: menus, headers and footers of the page, asides, forms, scripts,
+The clusters tell the element that holds the content (an article or main element, or the lowest that holds
+several of them, or else the lowest that holds all clusters), and every line in it counts, short ones too, and
+without a single article or main the headings and paragraphs before it as well, save those in elements that are never content: menus, headers and footers of the page, asides, forms, scripts,
 notices, adverts and reader comments, known by element, role or the words of class and id.
 
 Defined cases: null, empty and text-free pages give the empty string; unclosed and stray tags are
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption hr head title".split()
 )
+_LEAD = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd".split())
 _NEVER = frozenset("nav aside footer form script style noscript head template iframe object button select textarea svg math dialog menu canvas audio video title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -37,8 +39,8 @@ _KEEP = frozenset(["body", "html", "article", "main"])
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Gaussian width in lines, and the share of the clusters' text an element needs to be the content.
-SIGMA, SHARE = 1.0, 0.9
+#: Gaussian width in lines.
+SIGMA = 1.0
 
 
 class _Node:
@@ -169,6 +171,25 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _up(node: _Node | None) -> Iterator[_Node]:
+    """An element and those around it."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _common(nodes: list[_Node]) -> _Node:
+    """The lowest element that holds all of them."""
+    found = nodes[0]
+    for node in nodes[1:]:
+        while found is not node:
+            if found.depth >= node.depth:
+                found = found.parent
+            else:
+                node = node.parent
+    return found
+
+
 def extract(page: str | None) -> str:
     """The page's main text, its blocks joined by line feeds."""
     if not page:
@@ -187,24 +208,24 @@ def extract(page: str | None) -> str:
             mass[node] = mass.get(node, 0) + len(lines[k][0])
             node = node.parent
     total = sum(len(lines[k][0]) for k in chosen)
-    named = [n for n in mass if n.strong and mass[n] >= 0.5 * total]
-    if named:
-        region = max(named, key=lambda n: (mass[n], -n.depth))
+    strong = ([x for x in _up(node) if x.strong] for _, _, node in lines)
+    named = dict.fromkeys(x[-1] for x in strong if x)  # outermost ones, siblings too
+    if sum(mass.get(n, 0) for n in named) >= 0.5 * total and named:
+        held = [k for k, (_, _, node) in enumerate(lines) if any(x in named for x in _up(node))]
+        region = _common(list(named))
     else:
-        deep = [n for n in mass if n.tag not in _LEAF and mass[n] >= SHARE * total]
-        region = max(deep, key=lambda n: n.depth)
-    low, high = 0, len(lines) - 1
-    if region.tag in ("", "html", "body"):  # nothing frames the content: the clusters do
-        low, high = chosen[0], chosen[-1]
-
-    def inside(node: _Node | None) -> bool:
-        while node is not None:
-            if node is region:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for k, (text, _, node) in enumerate(lines) if low <= k <= high and inside(node))
+        held, named = chosen, {}
+        region = _common([lines[k][2] for k in chosen])
+        while region.tag in _LEAF:
+            region = region.parent
+    within = [k for k, (_, _, node) in enumerate(lines) if region in _up(node)]
+    if region.tag in ("", "html", "body"):  # nothing frames the content: the lines found do
+        within = [k for k in within if held[0] <= k <= held[-1]]
+    if len(named) == 1:
+        return "\n".join(lines[k][0] for k in within)
+    # headings and leads stand before the body, often outside its element
+    start = next((k for k in range(within[0]) if any(x.tag in _LEAD for x in _up(lines[k][2]))), within[0])
+    return "\n".join(lines[k][0] for k in [*range(start, within[0]), *within])
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
