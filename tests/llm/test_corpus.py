@@ -98,70 +98,65 @@ def test_base_and_counts(spark, wide, nothing):
     assert [r["score"] for r in lm.score(wide.limit(2), F.lit(False)).collect()] == [0.0, 0.0]
 
 
-def test_automaton_sums_to_one_and_matches_backoff():
-    random.seed(3)
-    stream = [random.choice([0, 0, 1, 2, 3, 4]) for _ in range(3000)]
-    counts = [stream.count(k) for k in range(5)]
-    two = {k: c for k, c in Counter(zip(stream, stream[1:], strict=False)).items() if c > 60}
-    three = {k: c for k, c in Counter(zip(stream, stream[1:], stream[2:], strict=False)).items() if c > 20}
-    log_p = [math.log10(c / 3100) for c in counts]
-    machine = lm.build({}, log_p, counts, two, three)
-    for before in ([], [0], [0, 1], [2, 0], [3, 4], [0, 0]):
-        last = [machine.walk([*before, w]) - machine.walk(before) + log_p[w] for w in range(5)]
-        unknown = machine.walk([*before, -1]) - machine.walk(before) + math.log10(1 - sum(10**x for x in log_p))
-        assert abs(sum(10**x for x in last) + 10**unknown - 1) < 1e-9
-
-
-def test_scores_match_plain_backoff(spark):
-    """Counts, admission by share and scores of the whole query path, without an automaton."""
-    rows = texts()
-    word_share, gram_share, d2 = 2e-4, 5e-5, 0.6
-    said = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
-    learned = [ws for i, ws in said.items() if zlib.crc32(str(i).encode()) % 10]
-    one = Counter(w for ws in learned for w in ws)
-    n = sum(one.values())
-    often = {w for w, c in one.items() if c >= word_share * n}
-    grams = Counter(ws[k : k + size] for ws in map(tuple, learned) for size in (2, 3) for k in range(len(ws) - size + 1))
-    grams = {g: c for g, c in grams.items() if c >= max(3, gram_share * n) and often.issuperset(g)}
-    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
-    d1 = min(0.95, max(0.1, once / (once + 2 * twice)))
-    heads = {g[:1] for g in grams if len(g) == 2}
-    after = {}
-    for g, c in grams.items():
-        if len(g) == 2 or (g[:2] in grams and g[1:2] in heads):
-            after.setdefault(g[:-1], {})[g[-1]] = c
-    rest = {}
+def plain_model(learned):
+    """Probability of a word after a context, by its definition; every word, pair and triple counts."""
+    grams = Counter(tuple(ws[k : k + size]) for ws in learned for size in (1, 2, 3) for k in range(len(ws) - size + 1))
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    n, once, twice = sum(one.values()), *(sum(c == k for c in one.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
 
     def p(w, context):
         if not context:
-            return (one[w] - d1 if one[w] else d1 * len(one)) / n
-        found = after.get(context)
-        if found is None:
-            return p(w, context[1:])
-        total = one[context[0]] if len(context) == 1 else grams[context]
-        if w in found:
-            return (found[w] - d2) / total
-        if context not in rest:
-            rest[context] = (1 - sum(c - d2 for c in found.values()) / total) / (1 - sum(p(x, context[1:]) for x in found))
-        return rest[context] * p(w, context[1:])
-
-    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), queries.common.id_remainder(F.col("doc_id"), 10) != 0, word_share, gram_share)
-    assert len(grams) > 500 and max(map(len, after)) == 2
-    for r in got.collect():
+            return (one[w] - d if w in one else d * len(one)) / n
+        c, prior = grams[context], lm.PRIOR[len(context) + 1]
+        return (grams[(*context, w)] + prior * p(w, context[1:])) / (c + prior)
+
+    return p, one
+
+
+def test_states_sum_to_one():
+    random.seed(3)
+    learned = [[random.choice([b"a", b"a", b"b", b"c"]) for _ in range(random.randrange(30))] + [lm.END] for _ in range(50)]
+    p, one = plain_model(learned)
+    for context in [(), (b"a",), (b"c", b"a"), (b"a", b"a"), (b"b", b"b"), (b"x",)]:
+        assert math.isclose(sum(p(w, context) for w in [*one, b"unknown"]), 1)
+
+
+@pytest.mark.parametrize("limit", [lm.CHUNK_BYTES, 20_000])
+def test_scores_match_the_definition(spark, monkeypatch, limit):
+    """The whole query path, whichever chunks, buckets and blocks hold an n-gram, without an automaton."""
+    rows = texts() + [(10**6 + k, t) for k, (_, t) in enumerate(DOCS)]
+    if limit < lm.CHUNK_BYTES:
+        monkeypatch.setattr(lm, "BUCKET", 5_000)
+        monkeypatch.setattr(lm, "BLOCK", 500)
+    said = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    p, _ = plain_model([ws for i, ws in said.items() if zlib.crc32(str(i).encode()) % 10])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm.score(df, queries.common.id_remainder(F.col("doc_id"), 10) != 0, chunk_bytes=limit).collect()
+    assert len(got) == len(rows)
+    for r in got:
         ws = said[r["doc_id"]]
         want = sum(math.log10(p(w, tuple(ws[max(0, k - 2) : k]))) for k, w in enumerate(ws))
-        assert math.isclose(r["score"], want, rel_tol=1e-9)
+        assert math.isclose(r["score"], want, rel_tol=1e-9), r
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=300), st.integers(0, 300), st.sampled_from([64, 47, 9]))
+@settings(max_examples=60, deadline=None)
+def test_lists_are_read_back(values, most, width):
+    import numpy as np
+
+    values = np.sort(np.array(values, np.uint64) >> np.uint64(64 - width))
+    counts = np.array([(7 * k) % (most + 1) * 10 ** (k % 4) for k in range(len(values))], np.int64)
+    a, b = lm.read_list(lm.write_list(values, width, counts))
+    assert (a == values).all() and (b == counts).all() and len(a) == len(values)
 
 
-def test_rare_ngrams_of_a_large_corpus_are_held(spark, monkeypatch):
-    """What is seen LEAST times enters the higher orders, however many tokens there are, and whichever chunks hold it."""
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 60_000)
+def test_ngrams_seen_once_are_held(spark):
+    """However many tokens there are, and whichever chunks hold them."""
     filler = " ".join(f"w{k % 97}" for k in range(20_000))
-    rows = [(k, filler) for k in range(10)] + [(20 + k, "rare ngram here") for k in range(3)] + [(40, "rare ngram here")]
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40).collect()}
-    n, d1 = 200_000 + 10 + 4 * 3, 0.5
-    want = math.log10((3 - d1) / n) + 3 * math.log10((3 - 0.6) / 3)
-    assert n == 200_022 and math.isclose(got[40], want, rel_tol=1e-9) and got[40] == got[20]
+    rows = [(k, filler) for k in range(10)] + [(20, "rare ngram here"), (40, "rare ngram here"), (41, "here ngram rare")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40, chunk_bytes=60_000).collect()}
+    assert got[40] == got[20] > got[41] + 3
 
 
 def test_model_beats_its_base(spark):

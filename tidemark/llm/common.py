@@ -59,9 +59,9 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write a table, and read it from there."""
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        df.write.options(**{"compression": "zstd"} | options).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

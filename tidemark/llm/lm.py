@@ -1,37 +1,50 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Every word and n-gram is counted over all training texts. The counts stay distributed: texts are dealt into
-chunks of bounded size, each chunk lists its distinct words, pairs and triples, the lists meet the totals,
-and come back to their chunk with the counts, so neither a vocabulary, nor n-grams, nor their statistics
-pass through the driver.
-
-The model is an n-gram model of order three with absolute discounting. Order one holds every word; what it
-discounts is the probability of an unknown word. Higher orders hold every n-gram that training texts hold
-`LEAST` times or more, a constant number, so they grow with the input. (`word_share` and `gram_share` ask
-for a share of all training tokens as well; they are 0 unless given.) A context's backoff weight is summed
-over all n-grams that continue it, wherever they are. Each chunk's n-grams become arcs of its automaton,
-whose states are contexts, and each state's failure arc carries the backoff weight to its suffix. One pass
-from left to right carries the state and adds log probabilities. Each state's probabilities sum to one.
-
-An n-gram is named by its context and its suffix: two words' 60-bit hashes, or those of two pairs.
+Every word, pair and triple of all training texts is counted, none is left out, so what the model holds grows
+with the corpus. Nothing of it but four totals passes through the driver:
+
+1. Texts are packed, in the order they are read, into chunks of bounded size, one compressed row each.
+2. A chunk lists its distinct words, pairs and triples by hash, sorted, with their training counts. The lists
+   are cut by leading bits into buckets, and a bucket's part of a list is one row: cells of leading bits, the
+   bytes below them and the counts, about four bytes an n-gram.
+3. A bucket holds a range of hashes from all chunks. It adds up the counts and sends each chunk what the
+   others add to its own.
+4. A chunk meets its sums again and scores its texts.
+
+The model is of order three with Dirichlet smoothing: P(w|context) = (c(context w) + m P(w|shorter context))
+/ (c(context) + m). Every word but the end is always followed by something, so the counts of a context's
+continuations add up to its own, and each state's probabilities sum to one. Order one discounts every count
+by a constant; that is the probability of an unknown word. Contexts are the automaton's states, n-grams its
+arcs, and each state's failure arc carries m / (c(context) + m) to its suffix. A text is scored in one pass
+from left to right that carries the state and adds log probabilities. An automaton is built for a block of
+whole texts, of bounded size, and holds every arc that they can take.
+
+Hashes of words have 64 bits. Those of pairs and triples are cut to the bits of the corpus's size in bytes and
+`SPARE` more, so at every size an n-gram meets another's hash less than once in 2 ** SPARE.
+
+A bucket's rows are one a chunk and order; their number is chunks times buckets, so for corpora of many
+terabytes larger chunks (`chunk_bytes`) keep rows long.
 
 Defined cases: null and empty texts are the end token alone; without training texts every score is 0 and
-nothing is known; repeated rows are scored and counted as often as they are there; ids only
-decide what is held out (in the query, a null id has remainder 0).
+nothing is known; an empty table gives no rows; repeated rows are scored and counted as often as they are
+there; equal counts need no order; a text longer than a chunk is a chunk, and a block, of its own; ids only
+decide what is held out (in the query, a null id has remainder 0); other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter, defaultdict
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,235 +53,220 @@ from tidemark.llm.common import Scratch, slices
 #: The end token; no word is empty.
 END = b""
 CHUNK_BYTES = 8 << 20
-#: Occurrences that an n-gram needs, at every size.
-LEAST = 3
-#: What absolute discounting takes from an n-gram.
-DISCOUNT = 0.6
+#: n-grams that a bucket holds, about, and tokens of a block of texts that share an automaton.
+BUCKET, BLOCK = 4_000_000, 200_000
+#: Bits of a hash of pairs or triples beyond those of the corpus's size in bytes.
+SPARE = 17
+#: What the shorter context counts for, by the order of the n-gram.
+PRIOR = {2: 200.0, 3: 20.0}
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end."""
-    words = (text or "").encode().lower().split()  # on bytes both are ASCII only
+def tokens(text: bytes) -> list[bytes]:
+    """Words of lower-cased bytes, then the end."""
+    words = text.split()  # bytes: ASCII white space only
     words.append(END)
     return words
 
 
-@dataclass
-class Automaton:
-    """Arcs by state: word id to (next state, log10 probability). fail: (state, log10 weight). State 0 is the root."""
-
-    words: dict[bytes, int] = field(default_factory=dict)
-    arcs: list[dict[int, tuple[int, float]]] = field(default_factory=lambda: [{}])
-    fail: list[tuple[int, float]] = field(default_factory=lambda: [(0, 0.0)])
-
-    def __post_init__(self) -> None:
-        self.to_root = []
-        for state in range(len(self.fail)):
-            total = 0.0
-            while state:
-                state, w = self.fail[state]
-                total += w
-            self.to_root.append(total)
-
-    def walk(self, ids: list[int]) -> float:
-        """The weight a text adds to that of its words alone. ids: word ids, -1 for words without one.
-
-        Root arcs hold no probability here, only the next state: a word's own weight is added by the caller.
-        """
-        arcs, fail, to_root, root = self.arcs, self.fail, self.to_root, self.arcs[0]
-        state, total = 0, 0.0
-        for w in ids:
-            if w < 0:
-                if state:
-                    total += to_root[state]
-                    state = 0
-                continue
-            while state:
-                arc = arcs[state].get(w)
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                state, weight = fail[state]
-                total += weight
-            else:
-                arc = root.get(w)
-                state = arc[0] if arc is not None else 0
-        return total
+# --- chunks
 
 
-def build(own: dict[bytes, int], log_p: list[float], counts: list[int], two: dict[tuple[int, int], int], three: dict[tuple[int, int, int], int], discount: float = DISCOUNT) -> Automaton:
-    """An automaton from n-gram counts. Arc weights are relative to the word's own log probability."""
-    p1 = [10.0**x for x in log_p]
-    after: dict[int, dict[int, float]] = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = (c - discount) / counts[h]
-    states: dict[tuple[int, ...], int] = {(): 0}
-    for h in sorted(after):
-        states[(h,)] = len(states)
-    deep: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
-    for (g, h, w), c in three.items():
-        if (g, h) in two and h in after:
-            deep[g, h][w] = (c - discount) / two[g, h]
-    for context in sorted(deep):
-        states[context] = len(states)
-
-    def target(*context: int) -> int:
-        for k in range(len(context)):
-            if context[k:] in states:
-                return states[context[k:]]
-        return 0
-
-    arcs: list[dict[int, tuple[int, float]]] = [{} for _ in states]
-    fail: list[tuple[int, float]] = [(0, 0.0)] * len(states)
-    alpha: dict[int, float] = {}
-    for h, found in after.items():
-        left, rest = 1.0 - sum(found.values()), 1.0 - sum(p1[w] for w in found)
-        alpha[h] = left / rest
-        fail[states[(h,)]] = (0, math.log10(alpha[h]))
-        for w, p in found.items():
-            arcs[states[(h,)]][w] = (target(h, w), math.log10(p) - log_p[w])
-    for (g, h), found in deep.items():
-        lower = sum(after[h].get(w, alpha[h] * p1[w]) for w in found)
-        at = states[g, h]
-        fail[at] = (states[(h,)], math.log10((1.0 - sum(found.values())) / (1.0 - lower)))
-        for w, p in found.items():
-            arcs[at][w] = (target(h, w), math.log10(p) - log_p[w])
-    for w in range(len(log_p)):
-        if (w,) in states:
-            arcs[0][w] = (states[(w,)], 0.0)
-    return Automaton(own, arcs, fail)
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each chunk with their training counts. Rows come sorted by chunk."""
-    key, seen = None, Counter()
-
-    def done() -> Iterator[pa.RecordBatch]:
-        words = list(seen)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([seen[w] for w in part], pa.int64())], names=["chunk", "word", "c"])
+_CHUNK = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("train", pa.bool_())])
+_CHUNKS = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("data", T.BinaryType())])
 
-    for batch in slices(batches):
-        for chunk, text, train in zip(*[batch.column(c).to_pylist() for c in ("chunk", "text", "train")], strict=True):
-            if chunk != key:
-                if seen:
-                    yield from done()
-                key, seen = chunk, Counter()
-            words = tokens(text)
-            if train:
-                seen.update(words)
-            else:
-                for w in words:
-                    if w not in seen:
-                        seen[w] = 0
-    if seen:
-        yield from done()
 
+def _packed(rows: list[tuple]) -> bytes:
+    sink = pa.BufferOutputStream()
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CHUNK.types, strict=True)]
+    with pa.ipc.new_stream(sink, _CHUNK, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=_CHUNK))
+    return sink.getvalue().to_pybytes()
 
-def named(word: bytes) -> int:
-    """A word's hash; `_named` is the same on columns."""
-    return int(hashlib.md5(word).hexdigest()[:15], 16)
 
+def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, train) as chunks, named by task and place."""
+    place, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-def _named(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([_packed(held)], pa.binary())], names=_CHUNKS.names)
 
+    for batch in slices(batches):
+        for doc_id, text, train in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            held.append((doc_id, (text or "").encode().lower(), train))  # on bytes, A-Z only
+            size += len(held[-1][1]) + 1
+            if size >= limit:
+                yield done()
+                place, held, size = place + 1, [], 0
+    if held:
+        yield done()
+
+
+class Chunk:
+    """A chunk's texts as numbers, and its distinct n-grams in order of their hashes."""
+
+    def __init__(self, data: bytes) -> None:
+        rows = pa.ipc.open_stream(data).read_all()
+        self.doc_ids, self.train = rows.column("doc_id").to_pylist(), rows.column("train").to_pylist()
+        index: dict[bytes, int] = {}
+        texts = []
+        for text in rows.column("text").to_pylist():
+            said = tokens(text)
+            texts.append(np.fromiter((index.setdefault(w, len(index)) for w in said), np.int64, len(said)))
+        self.ends = np.cumsum([len(x) for x in texts])
+        ids = np.concatenate(texts)
+        train = np.repeat(np.array(self.train, bool), [len(x) for x in texts])
+        first = np.zeros(len(ids), bool)
+        first[0] = True
+        first[self.ends[:-1]] = True
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
+        order = np.argsort(names)
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        #: Per order: names, training counts, and per token the n-gram that ends there (-1: none).
+        self.names, self.counts, self.at = {1: names[order]}, {1: np.bincount(place[ids], train, len(names)).astype(np.int64)}, {1: place[ids]}
+        self.end = int(place[index[END]])
+        #: Per pair its words, per triple its pairs: (context, suffix).
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        later = ~first
+        for n in (2, 3):
+            if n == 3:
+                later = later & np.roll(later, 1)
+            below, ends = self.at[n - 1], np.flatnonzero(later)
+            pairs, of = np.unique(below[ends - 1] * len(self.names[n - 1]) + below[ends], return_inverse=True)
+            context, suffix = np.divmod(pairs, max(1, len(self.names[n - 1])))
+            names = _joined(self.names[n - 1][context], self.names[n - 1][suffix], n)
+            order = np.argsort(names, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            self.names[n], self.parts[n] = names[order], (context[order], suffix[order])
+            self.counts[n] = np.bincount(place[of], train[ends], len(names)).astype(np.int64)
+            self.at[n] = np.full(len(ids), -1, np.int64)
+            self.at[n][ends] = place[of]
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n-grams from those of their contexts and suffixes."""
+    h = (a ^ (b << np.uint64(29)) ^ (b >> np.uint64(35))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+# --- lists of n-grams
+
+
+_LIST = struct.Struct("<IBBBII")
+_INTS = [np.dtype(x) for x in ("u1", "<u2", "<u4", "<u8")]
+
+
+def _ints(values: np.ndarray) -> tuple[int, bytes]:
+    """The least sufficient type of unsigned integers, and the compressed values."""
+    most = int(values.max(initial=0))
+    kind = next(k for k, t in enumerate(_INTS) if most <= np.iinfo(t).max)
+    return kind, zstandard.ZstdCompressor(level=3).compress(values.astype(_INTS[kind]).tobytes())
+
+
+def _read_ints(kind: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), _INTS[kind]).astype(np.int64)
+
+
+def write_list(values: np.ndarray, width: int, counts: np.ndarray) -> bytes:
+    """Sorted values of `width` bits, with counts: cells of leading bits, and the whole bytes below them."""
+    n = len(values)
+    low = max(0, -(-(width - n.bit_length() - 2) // 8))
+    cells = np.bincount((values >> np.uint64(8 * low)).astype(np.int64), minlength=1) if low < 8 else np.array([n])
+    (k1, a), (k2, b) = _ints(cells), _ints(counts)
+    rest = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+    return _LIST.pack(n, low, k1, k2, len(a), len(b)) + a + b + rest
+
+
+def read_list(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The values and counts of write_list()."""
+    n, low, k1, k2, a, b = _LIST.unpack_from(data)
+    at = _LIST.size
+    cells, counts = _read_ints(k1, data[at : at + a]), _read_ints(k2, data[at + a : at + a + b])
+    rest = np.zeros((n, 8), np.uint8)
+    rest[:, :low] = np.frombuffer(data, np.uint8, n * low, at + a + b).reshape(n, low)
+    values = rest.reshape(-1).view("<u8").astype(np.uint64)
+    if low < 8:
+        values |= np.repeat(np.arange(len(cells), dtype=np.uint64), cells) << np.uint64(8 * low)
+    return values, counts
 
-def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of pairs of words; `_paired` is the same on columns."""
-    b = b.view(np.uint64)
-    return (a.view(np.uint64) ^ (b << np.uint64(17)) ^ (b >> np.uint64(47))).view(np.int64)
 
+@dataclass
+class Layout:
+    """How lists are cut: leading bits that name a bucket, and bits of a hash by order."""
 
-def _paired(a: Column, b: Column) -> Column:
-    return a.bitwiseXOR(F.shiftleft(b, 17)).bitwiseXOR(F.shiftrightunsigned(b, 47))
+    bucket: int
+    bits: dict[int, int]
 
+    @staticmethod
+    def of(size: int) -> Layout:
+        """For a corpus of so many bytes."""
+        return Layout(max(0, math.ceil(math.log2(max(1.0, size / 3 / BUCKET)))), {1: 64, 2: (n := min(64, size.bit_length() + SPARE)), 3: n})
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs and triples of each chunk with their training counts. Rows come sorted by chunk."""
-    key, index, texts = None, {}, []
+    def cut(self, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of buckets among sorted names, and the bits below those that name the bucket."""
+        whole = names >> np.uint64(64 - self.bits[n])
+        width = self.bits[n] - self.bucket
+        starts = np.arange(1 << self.bucket, dtype=np.uint64) << np.uint64(width) if width < 64 else np.zeros(1, np.uint64)
+        mask = np.uint64((1 << width) - 1)
+        return np.append(np.searchsorted(whole, starts), len(names)), whole & mask
 
-    def listed(size: int, context: np.ndarray, low: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(c), 100_000):
-            part = slice(k, k + 100_000)
-            n = len(c[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key, np.int32)), pa.array(np.full(n, size, np.int8)), pa.array(context[part]), pa.array(low[part]), pa.array(c[part])], names=["chunk", "size", "context", "low", "c"])
 
-    def done() -> Iterator[pa.RecordBatch]:
-        ids, n = np.concatenate([x for x, _ in texts]), len(index)
-        train = np.concatenate([np.full(len(x), t) for x, t in texts])
-        within = np.ones(len(ids), bool)  # a next word is there: no n-gram reaches over a text's end
-        within[np.cumsum([len(x) for x, _ in texts]) - 1] = False
-        names = np.fromiter(map(named, index), np.int64, n)
-        at = np.flatnonzero(within)
-        pairs, of = np.unique(ids[at] * n + ids[at + 1], return_inverse=True)
-        first, last = names[pairs // n], names[pairs % n]
-        yield from listed(2, first, last, np.bincount(of, train[at], len(pairs)).astype(np.int64))
-        names = paired(first, last)
-        double = np.flatnonzero(at[1:] == at[:-1] + 1)
-        triples, where = np.unique(of[double] * len(pairs) + of[double + 1], return_inverse=True)
-        if len(triples):
-            yield from listed(3, names[triples // len(pairs)], names[triples % len(pairs)], np.bincount(where, train[at[double]], len(triples)).astype(np.int64))
+_LISTS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("size", T.ByteType()), T.StructField("data", T.BinaryType())])
 
-    for batch in slices(batches):
-        for chunk, text, train in zip(*[batch.column(c).to_pylist() for c in ("chunk", "text", "train")], strict=True):
-            if chunk != key:
-                if texts:
-                    yield from done()
-                key, index, texts = chunk, {}, []
-            said = tokens(text)
-            texts.append((np.fromiter((index.setdefault(w, len(index)) for w in said), np.int64, len(said)), train))
-    if texts:
-        yield from done()
-
-
-_GRAMS = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("size", T.ByteType()), T.StructField("context", T.LongType()), T.StructField("low", T.LongType()), T.StructField("c", T.LongType())])
-
-
-def _found(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in names, -1 for what is not there."""
-    if not len(names):
-        return np.full(len(wanted), -1)
-    order = np.argsort(names, kind="stable")
-    at = order[np.minimum(np.searchsorted(names[order], wanted), len(names) - 1)]
-    return np.where(names[at] == wanted, at, -1)
-
-
-def assemble(words: list[bytes], log_p: np.ndarray, counts: np.ndarray, word_rest: np.ndarray, least: float, size: np.ndarray, context: np.ndarray, low: np.ndarray, c: np.ndarray, rest: np.ndarray) -> Automaton:
-    """The automaton of one chunk's n-grams. rest: backoff weights of words and pairs, NaN for what no n-gram continues."""
-    names = np.fromiter(map(named, words), np.int64, len(words))
-    two, three = size == 2, size == 3
-    h, w = _found(names, context[two]), _found(names, low[two])
-    kept = (h >= 0) & (w >= 0) & (counts[h] >= least) & (counts[w] >= least)
-    h, w, c2, rest2, pair = h[kept], w[kept], c[two][kept], rest[two][kept], paired(context[two], low[two])[kept]
-    before, after = _found(pair, context[three]), _found(pair, low[three])
-    kept = (before >= 0) & (after >= 0)
-    before, after, c3 = before[kept], after[kept], c[three][kept]
-    state1, state2 = np.zeros(len(words), np.int64), np.zeros(len(pair), np.int64)
-    one, deep = np.flatnonzero(~np.isnan(word_rest)), np.flatnonzero(~np.isnan(rest2))
-    state1[one] = 1 + np.arange(len(one))
-    state2[deep] = 1 + len(one) + np.arange(len(deep))
-    fail = [(0, 0.0), *[(0, x) for x in np.log10(word_rest[one]).tolist()], *zip(state1[w[deep]].tolist(), np.log10(rest2[deep]).tolist(), strict=True)]
-    arcs: list[dict[int, tuple[int, float]]] = [{} for _ in fail]
-    target = np.where(state2 > 0, state2, state1[w])
-    for at, word, to, weight in zip(state1[h].tolist(), w.tolist(), target.tolist(), (np.log10((c2 - DISCOUNT) / counts[h]) - log_p[w]).tolist(), strict=True):
-        arcs[at][word] = (to, weight)
-    for at, word, to, weight in zip(state2[before].tolist(), w[after].tolist(), target[after].tolist(), (np.log10((c3 - DISCOUNT) / c2[before]) - log_p[w[after]]).tolist(), strict=True):
-        arcs[at][word] = (to, weight)
-    for word, to in zip(one.tolist(), state1[one].tolist(), strict=True):
-        arcs[0][word] = (to, 0.0)
-    return Automaton({words[k]: k for k in np.unique(np.concatenate([h, w])).tolist()}, arcs, fail)
 
+def _lists(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, chunk, order, list) of chunks."""
+    for batch in batches:
+        for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            chunk = Chunk(data.as_py())
+            for n in (1, 2, 3):
+                bounds, values = layout.cut(chunk.names[n], n)
+                full = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
+                lists = [write_list(values[bounds[k] : bounds[k + 1]], layout.bits[n] - layout.bucket, chunk.counts[n][bounds[k] : bounds[k + 1]]) for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([name] * len(full), pa.int64()), pa.array([n] * len(full), pa.int8()), pa.array(lists, pa.binary())], names=_LISTS.names)
 
-_SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-                        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+_STATS = ["tokens", "words", "once", "twice"]
+_SUMS = T.StructType([*_LISTS.fields, *[T.StructField(s, T.LongType()) for s in _STATS]])
+
+
+def _sums(lists: pa.Table) -> pa.Table:
+    """What other chunks add to each list of a bucket, and with the first row the statistics of its words."""
+    out = []
+    stats = [0] * len(_STATS)
+    for n in (1, 2, 3):
+        rows = [r for r in zip(*[lists.column(c).to_pylist() for c in _LISTS.names], strict=True) if r[2] == n]
+        if not rows:
+            continue
+        read = [read_list(r[3]) for r in rows]
+        values, counts = (np.concatenate(x) for x in zip(*read, strict=True))
+        order = np.argsort(values, kind="stable")
+        new = np.append(True, values[order[1:]] != values[order[:-1]])
+        of = np.empty(len(values), np.int64)
+        of[order] = np.cumsum(new) - 1
+        totals = np.bincount(of, counts).astype(np.int64)
+        if n == 1:
+            stats = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+        more = totals[of] - counts
+        at = 0
+        for (bucket, chunk, _, _), (_, own) in zip(rows, read, strict=True):
+            kind, data = _ints(more[at : at + len(own)])
+            out.append((bucket, chunk, n, bytes([kind]) + data, *([0] * len(stats) if out else stats)))
+            at += len(own)
+    columns = list(zip(*out, strict=True))
+    types = [pa.int64(), pa.int64(), pa.int8(), pa.binary(), *[pa.int64()] * len(_STATS)]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_SUMS.names)
+
+
+# --- scores
 
 
 @dataclass
 class Totals:
-    """Tokens, distinct words and the order-one discount."""
+    """Training tokens, distinct words and the order-one discount."""
 
     n: int
     v: int
@@ -280,73 +278,116 @@ class Totals:
 
     def own(self, c: np.ndarray) -> np.ndarray:
         """Absolute discounting; unknown words share what it takes."""
-        if not self.n:
-            return np.zeros(len(c))
-        return np.log10(np.where(c > 0, c - self.discount, self.discount * self.v) / self.n)
-
-
-def _score(texts: pa.Table, known: pa.Table, totals: Totals, least: float) -> pa.Table:
-    """One chunk: its texts, and its words and n-grams with their counts."""
-    word = known.column("word").is_valid()
-    vocabulary, grams = known.filter(word), known.filter(pc.invert(word))
-    words = vocabulary.column("word").to_pylist()
-    index = dict(zip(words, range(len(words)), strict=True))
-    c = vocabulary.column("total").to_numpy().astype(np.float64)
-    base, own = totals.base(c), totals.own(c)
-    weights = [pc.fill_null(x.column("rest"), math.nan).to_numpy() for x in (vocabulary, grams)]
-    machine = assemble(words, own, c, weights[0], least, *[grams.column(k).to_numpy() for k in ("size", "context", "low", "total")], weights[1])
-    ids = np.fromiter((machine.words.get(w, -1) for w in words), np.int32, len(words))
-    out = []
-    for doc_id, text, train in zip(*[texts.column(k).to_pylist() for k in ("doc_id", "text", "train")], strict=True):
-        said = tokens(text)
-        at = np.fromiter(map(index.__getitem__, said), np.int64, len(said))
-        own_ids = ids[at]
-        told = own_ids >= 0
-        told[1:] |= own_ids[:-1] >= 0  # the automaton rests at its root through a run of words without an id
-        out.append((doc_id, not train, len(said), int((c[at] > 0).sum()), float(base[at].sum()), float(own[at].sum()) + machine.walk(own_ids[told].tolist())))
-    columns = list(zip(*out, strict=True)) if out else [()] * 6
+        return np.where(c > 0, c - self.discount, self.discount * self.v) / self.n
+
+
+class Automaton:
+    """States are contexts (0: the empty one). arcs: state * words + word to (next state, log10 probability)."""
+
+    def __init__(self, words: int, arcs: dict[int, tuple[int, float]], fail: list[tuple[int, float]]) -> None:
+        self.words, self.arcs, self.fail = words, arcs, fail
+
+    def walk(self, text: list[int]) -> float:
+        """Log10 probability of a text, from left to right. The root has an arc for every word."""
+        find, fail, words = self.arcs.get, self.fail, self.words
+        state, total = 0, 0.0
+        for word in text:
+            arc = find(state * words + word)
+            while arc is None:
+                state, weight = fail[state]
+                total += weight
+                arc = find(state * words + word)
+            state, weight = arc
+            total += weight
+        return total
+
+
+class Model:
+    """A chunk's probabilities, and automata over them for blocks of its texts."""
+
+    def __init__(self, chunk: Chunk, totals: Totals, counts: dict[int, np.ndarray]) -> None:
+        self.chunk, self.counts = chunk, counts
+        self.p, self.left = {1: totals.own(counts[1])}, {}
+        for n in (2, 3):
+            context, suffix = chunk.parts[n]
+            c = counts[n - 1].astype(np.float64)
+            self.left[n - 1] = np.log10(PRIOR[n] / (c + PRIOR[n]))  # failure arcs of contexts
+            self.p[n] = (counts[n] + PRIOR[n] * self.p[n - 1][suffix]) / (c[context] + PRIOR[n])
+        self.p = {n: np.log10(p) for n, p in self.p.items()}
+
+    def automaton(self, start: int, stop: int) -> tuple[Automaton, list[int]]:
+        """The automaton of the tokens start..stop, whole texts, and their words in its numbers."""
+        words, said = np.unique(self.chunk.at[1][start:stop], return_inverse=True)
+        known = self.counts[1][words] > 0
+        state1 = np.where(known & (words != self.chunk.end), 1 + np.arange(len(words)), 0)
+        fail = [(0, 0.0), *zip([0] * len(words), self.left[1][words].tolist(), strict=True)]
+        arcs = dict(enumerate(zip(state1.tolist(), self.p[1][words].tolist(), strict=True)))
+        grams, held = words, state1  # the n-grams below, and the states they lead to
+        for n in (2, 3):
+            found = np.unique(self.chunk.at[n][start:stop])
+            found = found[(found >= 0)]
+            found = found[self.counts[n][found] > 0]
+            context, suffix = (np.searchsorted(grams, x[found]) for x in self.chunk.parts[n])
+            last = suffix if n == 2 else last_word[suffix]
+            if n == 2:  # a pair is a state, unless the text ends with it
+                to = np.where(words[last] != self.chunk.end, len(fail) + np.arange(len(found)), 0)
+                fail += zip(state1[suffix].tolist(), self.left[2][found].tolist(), strict=True)
+                last_word = last
+            else:
+                to = held[suffix]
+            keys = held[context] * len(words) + last
+            arcs.update(zip(keys.tolist(), zip(to.tolist(), self.p[n][found].tolist(), strict=True), strict=True))
+            grams, held = found, to
+        return Automaton(len(words), arcs, fail), said.tolist()
+
+    def scores(self) -> Iterator[float]:
+        """Of every text, in order."""
+        start = done = 0
+        ends = self.chunk.ends.tolist()
+        while done < len(ends):
+            upto = done + 1
+            while upto < len(ends) and ends[upto] - start <= BLOCK:
+                upto += 1
+            machine, said = self.automaton(start, ends[upto - 1])
+            at = 0
+            for end in ends[done:upto]:
+                yield machine.walk(said[at : end - start])
+                at = end - start
+            start, done = ends[upto - 1], upto
+
+
+_SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+                        T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+
+def _score(texts: pa.Table, sums: pa.Table, totals: Totals) -> pa.Table:
+    """One chunk and what the others add to its counts."""
+    chunk = Chunk(texts.column("data")[0].as_py())
+    added: dict[int, list[tuple[int, np.ndarray]]] = {1: [], 2: [], 3: []}
+    for bucket, n, data in zip(*[sums.column(c).to_pylist() for c in ("bucket", "size", "data")], strict=True):
+        added[n].append((bucket, _read_ints(data[0], data[1:])))
+    counts = {n: chunk.counts[n] + np.concatenate([np.empty(0, np.int64), *[x for _, x in sorted(parts, key=lambda p: p[0])]]) for n, parts in added.items()}
+    at, starts = chunk.at[1], np.append(0, chunk.ends[:-1])
+    base = np.add.reduceat(totals.base(counts[1])[at], starts)
+    scores = list(Model(chunk, totals, counts).scores()) if totals.n else [0.0] * len(starts)
+    known = np.add.reduceat((counts[1][at] > 0).astype(np.int64), starts)
+    columns = [chunk.doc_ids, [not t for t in chunk.train], chunk.ends - starts, known, base, scores]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=_SCORES.names)
 
 
-def score(docs: DataFrame, train: Column, word_share: float = 0.0, gram_share: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row. train: the rows to learn from."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    chunks = max(1, math.ceil(size / CHUNK_BYTES))
-    # by content, so that any recomputation deals alike; a text that very many rows repeat is spread by id
-    chunk = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(chunks)).cast("int")
-    dealt = rows.withColumn("chunk", chunk).repartition(chunks, "chunk")
-    listed = dealt.sortWithinPartitions("chunk").mapInArrow(_vocabulary, T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())]))
-    vocabulary = scratch.keep(listed, "vocabulary")
-    counted = scratch.keep(vocabulary.groupBy("word").agg(F.sum("c").alias("total")), "counted")
-    s = counted.where("total > 0").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("n1"), F.count_if(F.col("total") == 2).alias("n2")).first()
-    n1, n2 = s["n1"], s["n2"]
-    totals = Totals(s["n"] or 0, s["v"], min(0.95, max(0.1, n1 / (n1 + 2 * n2)))) if n1 + n2 else Totals(s["n"] or 0, s["v"], 0.5)
-    # an n-gram's lists meet at its hash; each goes back to its chunk with the total
-    grams = dealt.sortWithinPartitions("chunk").mapInArrow(_grams, _GRAMS)
-    same = Window.partitionBy("context", "low")
-    met = grams.withColumns({"total": F.sum("c").over(same), "first": F.min("chunk").over(same) == F.col("chunk")})
-    held = scratch.keep(met.where(F.col("total") >= max(float(LEAST), gram_share * totals.n)).drop("c"), "grams")
-    least = max(1.0, word_share * totals.n)
-    word = counted.where(F.col("total") >= least).select(_named(F.col("word")).alias("name"), F.col("total").alias("n"), ((F.col("total") - totals.discount) / max(totals.n, 1)).alias("p"))
-    once = held.where("first")
-    head, tail = word.select(F.col("name").alias("context"), "n"), word.select(F.col("name").alias("low"), "p")
-    two = scratch.keep(once.where("size = 2").join(head, "context").join(tail, "low").select(_paired(F.col("context"), F.col("low")).alias("pair"), "context", "total", "n", "p"), "pairs")
-    taken = F.sum(F.col("total") - DISCOUNT)
-    rest1 = two.groupBy("context").agg(((1 - taken / F.first("n")) / (1 - F.sum("p"))).alias("rest"))
-    low = two.select(F.col("pair").alias("low"), ((F.col("total") - DISCOUNT) / F.col("n")).alias("p"))
-    deep = once.where("size = 3").join(low, "low").groupBy("context").agg(taken.alias("taken"), F.sum("p").alias("p"))
-    rest2 = deep.join(two.select(F.col("pair").alias("context"), "total"), "context").select(F.col("context").alias("pair"), ((1 - F.col("taken") / F.col("total")) / (1 - F.col("p"))).alias("rest"))
-    weighed = counted.withColumn("context", _named(F.col("word"))).join(rest1, "context", "left").select("word", "total", "rest")
-    none = F.lit(None)
-    known = vocabulary.select("chunk", "word").join(weighed, "word").select("chunk", "word", "total", "rest", none.cast("byte").alias("size"), none.cast("long").alias("context"), none.cast("long").alias("low"))
-    pairs = held.where("size = 2").withColumn("pair", _paired(F.col("context"), F.col("low"))).join(rest2, "pair", "left")
-    triples = held.where("size = 3").withColumn("rest", none.cast("double"))
-    for part in (pairs, triples):
-        known = known.unionByName(part.select("chunk", none.cast("binary").alias("word"), "total", "rest", "size", "context", "low"))
-    both = dealt.groupBy("chunk").cogroup(known.groupBy("chunk"))
-    out = both.applyInArrow(lambda a, b: _score(a, b, totals, least), _SCORES)
-    return out.withColumn("train_tokens", F.lit(totals.n).cast("long"))
+    # rows of megabytes: small row groups, so that a reader holds few of them
+    small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    chunks = scratch.keep(rows.mapInArrow(partial(_pack, limit=chunk_bytes), _CHUNKS), "chunks", **small)
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).first()["b"] or 0
+    lists = chunks.mapInArrow(partial(_lists, layout=Layout.of(size)), _LISTS)
+    sums = scratch.keep(lists.groupBy("bucket").applyInArrow(_sums, _SUMS), "sums")
+    s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS]).first()
+    seen = s["once"] + 2 * s["twice"]
+    totals = Totals(s["tokens"], s["words"], min(0.95, max(0.1, s["once"] / seen)) if seen else 0.5)
+    both = chunks.groupBy("chunk").cogroup(sums.select("chunk", "bucket", "size", "data").groupBy("chunk"))
+    return both.applyInArrow(partial(_score, totals=totals), _SCORES).withColumn("train_tokens", F.lit(totals.n).cast("long"))
