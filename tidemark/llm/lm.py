@@ -16,8 +16,8 @@ The model is of order three with Dirichlet smoothing: P(w|context) = (c(context
 continuations add up to its own, and each state's probabilities sum to one. Order one discounts every count
 by a constant; that is the probability of an unknown word. Contexts are the automaton's states, n-grams its
 arcs, and each state's failure arc carries m / (c(context) + m) to its suffix. A text is scored in one pass
-from left to right that carries the state and adds log probabilities. An automaton is built for a block of
-whole texts, of bounded size, and holds every arc that they can take.
+from left to right that carries the state and adds log probabilities. A chunk's automaton holds every arc that
+its texts can take, under the numbers of its n-grams, so that an arc is found by number.
 
 Hashes of words have 64 bits. Those of pairs and triples are cut to the bits of the corpus's size in bytes and
 `SPARE` more, so at every size an n-gram meets another's hash less than once in 2 ** SPARE.
@@ -38,6 +38,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ from tidemark.llm.common import Scratch, slices
 #: The end token; no word is empty.
 END = b""
 CHUNK_BYTES = 8 << 20
-#: n-grams that a bucket holds, about, and tokens of a block of texts that share an automaton.
+#: n-grams that a bucket holds, about, and tokens of the texts that are walked at a time.
 BUCKET, BLOCK = 4_000_000, 200_000
 #: Bits of a hash of pairs or triples beyond those of the corpus's size in bytes.
 SPARE = 17
@@ -101,47 +102,58 @@ def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
         yield done()
 
 
+class _Hashes(dict):
+    """64-bit hash by word, of one chunk's words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Chunk:
     """A chunk's texts as numbers, and its distinct n-grams in order of their hashes."""
 
     def __init__(self, data: bytes) -> None:
         rows = pa.ipc.open_stream(data).read_all()
         self.doc_ids, self.train = rows.column("doc_id").to_pylist(), rows.column("train").to_pylist()
-        index: dict[bytes, int] = {}
-        texts = []
+        hashed, texts = _Hashes().__getitem__, []
         for text in rows.column("text").to_pylist():
             said = tokens(text)
-            texts.append(np.fromiter((index.setdefault(w, len(index)) for w in said), np.int64, len(said)))
-        self.ends = np.cumsum([len(x) for x in texts])
-        ids = np.concatenate(texts)
-        train = np.repeat(np.array(self.train, bool), [len(x) for x in texts])
-        first = np.zeros(len(ids), bool)
-        first[0] = True
-        first[self.ends[:-1]] = True
-        names = np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index))
-        order = np.argsort(names)
-        place = np.empty(len(names), np.int64)
-        place[order] = np.arange(len(names))
+            texts.append(np.fromiter(map(hashed, said), np.uint64, len(said)))
+        lengths = [len(x) for x in texts]
+        self.ends = np.cumsum(lengths)
+        names = np.concatenate(texts)
+        train = np.repeat(np.array(self.train, np.int64), lengths)
+        first = np.zeros(len(names), bool)
+        first[np.append(0, self.ends[:-1])] = True
         #: Per order: names, training counts, and per token the n-gram that ends there (-1: none).
-        self.names, self.counts, self.at = {1: names[order]}, {1: np.bincount(place[ids], train, len(names)).astype(np.int64)}, {1: place[ids]}
-        self.end = int(place[index[END]])
+        self.names: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
         #: Per pair its words, per triple its pairs: (context, suffix).
         self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        later = ~first
-        for n in (2, 3):
-            if n == 3:
-                later = later & np.roll(later, 1)
-            below, ends = self.at[n - 1], np.flatnonzero(later)
-            pairs, of = np.unique(below[ends - 1] * len(self.names[n - 1]) + below[ends], return_inverse=True)
-            context, suffix = np.divmod(pairs, max(1, len(self.names[n - 1])))
-            names = _joined(self.names[n - 1][context], self.names[n - 1][suffix], n)
+        places = np.arange(len(names))
+        for n in (1, 2, 3):
+            if n > 1:
+                later = ~first[places]
+                if n == 3:
+                    later[1:] &= places[:-1] == places[1:] - 1
+                    later[:1] = False
+                at = np.flatnonzero(later)
+                names = _joined(names[at - 1], names[at], n) if n == 3 else _joined(names[places[at] - 1], names[places[at]], n)
+                places = places[at]
             order = np.argsort(names, kind="stable")
-            place = np.empty(len(names), np.int64)
-            place[order] = np.arange(len(names))
-            self.names[n], self.parts[n] = names[order], (context[order], suffix[order])
-            self.counts[n] = np.bincount(place[of], train[ends], len(names)).astype(np.int64)
-            self.at[n] = np.full(len(ids), -1, np.int64)
-            self.at[n][ends] = place[of]
+            ranked = names[order]
+            new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+            starts = np.flatnonzero(new)
+            self.names[n] = ranked[starts]
+            self.counts[n] = np.add.reduceat(train[places[order]], starts) if len(starts) else np.empty(0, np.int64)
+            number = np.full(len(first), -1, np.int64 if len(first) >= 1 << 31 else np.int32)
+            number[places[order]] = np.cumsum(new) - 1
+            self.at[n] = number
+            if n > 1:
+                ends = places[order[starts]]
+                self.parts[n] = (self.at[n - 1][ends - 1], self.at[n - 1][ends])
 
 
 def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -281,78 +293,64 @@ class Totals:
         return np.where(c > 0, c - self.discount, self.discount * self.v) / self.n
 
 
-class Automaton:
-    """States are contexts (0: the empty one). arcs: state * words + word to (next state, log10 probability)."""
+def walk(arcs: Iterator[tuple[float, float, float, bool, float, float]]) -> float:
+    """Log10 probability of a text: one pass from left to right, from the root.
+
+    Per token: the weights of its arcs from a pair, from a word and from the root, where what no training text
+    holds has no arc (1.0); whether the root's arc leads to a word's state; and the weights of the failure arcs
+    of the pair and of the word before it. The state is the longest context of the last words that training
+    holds: a pair (2), a word (1) or the root (0).
+    """
+    state, total = 0, 0.0
+    for three, two, one, known, fail2, fail1 in arcs:
+        if state == 2:
+            if three <= 0.0:
+                total += three
+                continue  # to the state of the pair that ends here
+            total += fail2
+            state = 1
+        if state == 1:
+            if two <= 0.0:
+                total += two
+                state = 2
+                continue
+            total += fail1
+        total += one
+        state = 1 if known else 0
+    return total
 
-    def __init__(self, words: int, arcs: dict[int, tuple[int, float]], fail: list[tuple[int, float]]) -> None:
-        self.words, self.arcs, self.fail = words, arcs, fail
 
-    def walk(self, text: list[int]) -> float:
-        """Log10 probability of a text, from left to right. The root has an arc for every word."""
-        find, fail, words = self.arcs.get, self.fail, self.words
-        state, total = 0, 0.0
-        for word in text:
-            arc = find(state * words + word)
-            while arc is None:
-                state, weight = fail[state]
-                total += weight
-                arc = find(state * words + word)
-            state, weight = arc
-            total += weight
-        return total
-
-
-class Model:
-    """A chunk's probabilities, and automata over them for blocks of its texts."""
+class Automaton:
+    """A chunk's n-grams as arcs, named by their numbers, between contexts as states."""
 
     def __init__(self, chunk: Chunk, totals: Totals, counts: dict[int, np.ndarray]) -> None:
-        self.chunk, self.counts = chunk, counts
-        self.p, self.left = {1: totals.own(counts[1])}, {}
+        self.chunk, self.known = chunk, counts[1] > 0
+        p, self.fail = {1: totals.own(counts[1])}, {}
         for n in (2, 3):
             context, suffix = chunk.parts[n]
-            c = counts[n - 1].astype(np.float64)
-            self.left[n - 1] = np.log10(PRIOR[n] / (c + PRIOR[n]))  # failure arcs of contexts
-            self.p[n] = (counts[n] + PRIOR[n] * self.p[n - 1][suffix]) / (c[context] + PRIOR[n])
-        self.p = {n: np.log10(p) for n, p in self.p.items()}
-
-    def automaton(self, start: int, stop: int) -> tuple[Automaton, list[int]]:
-        """The automaton of the tokens start..stop, whole texts, and their words in its numbers."""
-        words, said = np.unique(self.chunk.at[1][start:stop], return_inverse=True)
-        known = self.counts[1][words] > 0
-        state1 = np.where(known & (words != self.chunk.end), 1 + np.arange(len(words)), 0)
-        fail = [(0, 0.0), *zip([0] * len(words), self.left[1][words].tolist(), strict=True)]
-        arcs = dict(enumerate(zip(state1.tolist(), self.p[1][words].tolist(), strict=True)))
-        grams, held = words, state1  # the n-grams below, and the states they lead to
-        for n in (2, 3):
-            found = np.unique(self.chunk.at[n][start:stop])
-            found = found[(found >= 0)]
-            found = found[self.counts[n][found] > 0]
-            context, suffix = (np.searchsorted(grams, x[found]) for x in self.chunk.parts[n])
-            last = suffix if n == 2 else last_word[suffix]
-            if n == 2:  # a pair is a state, unless the text ends with it
-                to = np.where(words[last] != self.chunk.end, len(fail) + np.arange(len(found)), 0)
-                fail += zip(state1[suffix].tolist(), self.left[2][found].tolist(), strict=True)
-                last_word = last
-            else:
-                to = held[suffix]
-            keys = held[context] * len(words) + last
-            arcs.update(zip(keys.tolist(), zip(to.tolist(), self.p[n][found].tolist(), strict=True), strict=True))
-            grams, held = found, to
-        return Automaton(len(words), arcs, fail), said.tolist()
+            c, prior = counts[n - 1].astype(np.float64), PRIOR[n]
+            self.fail[n - 1] = np.log10(prior / (c + prior))  # of contexts, to their suffixes
+            p[n] = (counts[n] + prior * p[n - 1][suffix]) / (c[context] + prior)
+        self.arcs = {n: np.where(counts[n] > 0, np.log10(p[n]), 1.0) for n in (2, 3)} | {1: np.log10(p[1])}
+
+    def _block(self, start: int, stop: int) -> list[list]:
+        """What walk() takes, for the tokens start..stop."""
+        at = {n: x[start:stop] for n, x in self.chunk.at.items()}
+        before = {n: np.append(-1, x[:-1]) for n, x in at.items()}
+        arcs = [np.where(at[n] >= 0, np.append(self.arcs[n], 1.0)[at[n]], 1.0) for n in (3, 2, 1)]
+        return [x.tolist() for x in (*arcs, self.known[at[1]], *(np.append(self.fail[n], 0.0)[before[n]] for n in (2, 1)))]
 
     def scores(self) -> Iterator[float]:
-        """Of every text, in order."""
+        """Of every text, in order; blocks of texts bound what is held as Python numbers."""
         start = done = 0
         ends = self.chunk.ends.tolist()
         while done < len(ends):
             upto = done + 1
             while upto < len(ends) and ends[upto] - start <= BLOCK:
                 upto += 1
-            machine, said = self.automaton(start, ends[upto - 1])
-            at = 0
-            for end in ends[done:upto]:
-                yield machine.walk(said[at : end - start])
-                at = end - start
+            arcs = zip(*self._block(start, ends[upto - 1]), strict=True)
+            for k in range(done, upto):
+                yield walk(islice(arcs, ends[k] - (ends[k - 1] if k else 0)))
             start, done = ends[upto - 1], upto
 
 
@@ -369,7 +367,7 @@ def _score(texts: pa.Table, sums: pa.Table, totals: Totals) -> pa.Table:
     counts = {n: chunk.counts[n] + np.concatenate([np.empty(0, np.int64), *[x for _, x in sorted(parts, key=lambda p: p[0])]]) for n, parts in added.items()}
     at, starts = chunk.at[1], np.append(0, chunk.ends[:-1])
     base = np.add.reduceat(totals.base(counts[1])[at], starts)
-    scores = list(Model(chunk, totals, counts).scores()) if totals.n else [0.0] * len(starts)
+    scores = list(Automaton(chunk, totals, counts).scores()) if totals.n else [0.0] * len(starts)
     known = np.add.reduceat((counts[1][at] > 0).astype(np.int64), starts)
     columns = [chunk.doc_ids, [not t for t in chunk.train], chunk.ends - starts, known, base, scores]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
