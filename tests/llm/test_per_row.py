@@ -178,6 +178,36 @@ def test_licences(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     by = {r["doc_id"]: r["labels"] for r in rows}
     assert by[1] == by[2] == "mit-text" and by[3] == ""
+    assert license.scan(df.limit(0)).count() == 0
+
+
+def bands(text):
+    """Labels of long templates and the best cover, by looking at every band of diagonals."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, best = set(), 0.0
+    for label, template in license.TEMPLATES:
+        t = template.split()
+        n = len(t) - 2
+        for low in range(-n - license.NEAR, len(words)):
+            got = {x for k in range(n) for p in range(low + k, low + k + license.NEAR + 1) if p >= 0 and words[p : p + 3] == t[k : k + 3] for x in (k, k + 1, k + 2)}
+            if len(got) * 10 >= 9 * len(t):
+                labels.add(label)
+                best = max(best, len(got) / len(t))
+    return labels, best
+
+
+def test_long_templates_are_verified(spark):
+    mit, bsd = dict(license.TEMPLATES)["mit-text"], dict(license.TEMPLATES)["bsd-text"]
+    half = mit.split()
+    texts = ["the software " * 30, "of the software and the software to deal in the software without " * 9, f"x {mit} y {bsd}", " ".join(half[14:] + half[:14]), " ".join(reversed(half)),
+             " ".join(w for k, w in enumerate(half) if k != 9), " ".join(w for k, w in enumerate(half) if k % 9), mit.replace(" of ", " of all "), "licensed under cc by 4 0 " * 3]
+    rows = collected(license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for r in rows:
+        labels, best = bands(texts[r["doc_id"]])
+        assert set(filter(None, r["labels"].split(","))) - set(filter(None, r["base_labels"].split(","))) == labels
+        assert r["score"] == (1.0 if r["n_base"] else best)
+    by = {r["doc_id"]: (r["labels"], r["score"]) for r in rows}
+    assert by[0] == by[1] == by[4] == by[6] == ("", 0.0) and by[2][0] == "bsd-text,mit-text" and by[5][0] == "mit-text" and by[8][0] == "cc-by,cc-by-4.0"
 
 
 # --- pages

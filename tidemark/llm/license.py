@@ -1,17 +1,22 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-Words of a text and of each template are rolled into hashes of two neighbours. The text's hashes are
-joined with the templates' (a fixed, small table) on the hash; matches are counted per diagonal (text
-position minus template position), neighbouring diagonals of a place are merged, so that inserted or
-missing words do not split a span, and spans that cover enough of their template are verified. A span of
-a phrase must be whole and consecutive: those are the base places.
+Word k-grams of a text, pairs for phrases and triples for longer templates, are joined with the templates' (a
+fixed, small table) on the rolling hash of their first two words, and all their words are compared. A match
+votes for its diagonal (text position minus template position); neighbouring diagonals are merged into bands
+of `NEAR` + 1, which overlap, so that inserted or missing words do not split a span. A band is a place if the
+k-grams that voted in it cover enough of the template's words, each position once: a text's repetitions count
+once, and a band keeps them in order. A place of a phrase is one diagonal with all its pairs, so its words
+stand consecutively: those are the base places.
 
 Defined cases: null and empty texts have no words, no places, empty label strings and score 0; equal
-rows get equal results, each kept; ties cannot arise, as labels are sets; other columns are ignored.
+rows get equal results, each kept; an empty table gives no rows; a very long text is cut into rows, one a
+word, and counted by band; ties cannot arise, as labels are sets; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +40,7 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under cc by 4 0"),
     ("mit-notice", "licensed under the mit license"),
 ]
-#: Diagonals this near belong to one span; a span of a long template must cover this share of its pairs.
+#: Diagonals this near belong to one band; a band must cover this share of a long template's words.
 NEAR, COVER = 4, 0.9
 
 
@@ -45,64 +50,45 @@ def words(text: Column) -> Column:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(k, p, label, 1, w.split()) for k, (label, p, w) in enumerate([*((b, True, a) for a, b in PHRASES.items()), *((name, False, t) for name, t in TEMPLATES)])]
-    rows = [(k, int(p), label, len(w) - 1, w) for k, p, label, _, w in rows]
-    df = spark.createDataFrame(rows, "tid int, phrase int, label string, pairs int, w array<string>")
-    at = F.explode(F.sequence(F.lit(0), F.size("w") - 2))
-    return df.withColumn("tpos", at).select("tid", "phrase", "label", "pairs", "tpos", F.xxhash64(F.col("w")[F.col("tpos")], F.col("w")[F.col("tpos") + 1]).alias("h"))
-
-
-def votes(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, template and diagonal with the number of matching pairs on it and the first text position."""
-    w = words(F.col(text))
-    rolled = docs.select(*keys, w.alias("w")).where(F.size("w") > 1)
-    # pairs are hashed in one pass over the array: (word, its right neighbour)
-    pairs = F.zip_with(F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    spread = rolled.select(*keys, F.posexplode(pairs).alias("pos", "h"))
-    hits = spread.join(F.broadcast(_templates(docs.sparkSession)), "h")  # a fixed table of a few hundred rows
+    """One row a k-gram: its first two words and their hash, the third (null for phrases), its position, and the words a place needs."""
+    rows = []
+    for tid, (label, text, k) in enumerate([*((label, phrase, 2) for phrase, label in PHRASES.items()), *((label, text, 3) for label, text in TEMPLATES)]):
+        w = text.split()
+        need = len(w) if k == 2 else math.ceil(COVER * len(w))
+        rows += [(tid, k == 2, label, len(w), need, at, f"{w[at]} {w[at + 1]}", w[at], w[at + 1], w[at + 2] if k == 3 else None) for at in range(len(w) - k + 1)]
+    df = spark.createDataFrame(rows, "tid int, phrase boolean, label string, length int, need int, tpos int, two string, a string, b string, third string")
+    return df.select("tid", "phrase", "label", "length", "need", "tpos", "two", "third", F.xxhash64("a", "b").alias("h"))
+
+
+def places(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys and, per place, the template's label, the band's lowest diagonal and the share of the template it covers."""
+    spread = docs.select(*keys, words(F.col(text)).alias("w")).where(F.size("w") > 1)
+    at = lambda i: F.get(F.col("w"), i)
+    gram = F.transform("w", lambda x, i: F.struct(F.xxhash64(x, at(i + 1)).alias("h"), F.concat(x, F.lit(" "), at(i + 1)).alias("said"), at(i + 2).alias("next")))
+    spread = spread.select(*keys, F.posexplode(gram).alias("pos", "g")).select(*keys, "pos", "g.h", "g.said", "g.next")
+    t = F.broadcast(_templates(docs.sparkSession))  # a fixed table of a few hundred rows
+    hits = spread.join(t, (spread["h"] == t["h"]) & (F.col("said") == F.col("two")) & (F.col("phrase") | (F.col("next") == F.col("third"))))
     diagonal = F.col("pos") - F.col("tpos")
-    return hits.groupBy(*keys, "tid", "phrase", "label", "pairs", diagonal.alias("diagonal")).agg(
-        F.size(F.collect_set("pos")).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")  # positions, so that repeated rows vote once
-    )
-
-
-def spans(voted: DataFrame, keys: list[str]) -> DataFrame:
-    """Per row and template: verified places. Only rows that hold a place reach this."""
-    d = F.struct("diagonal", "votes", "first", "last")
-    lists = voted.groupBy(*keys, "tid", "phrase", "label", "pairs").agg(F.array_sort(F.collect_list(d)).alias("ds"))
-    # neighbouring diagonals merge into [lowest, highest, votes, first]
-    start = F.array().cast("array<struct<low:int,high:int,votes:int,first:int>>")
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        new = F.struct(x["diagonal"].alias("low"), x["diagonal"].alias("high"), x["votes"].alias("votes"), x["first"].alias("first"))
-        joined = F.struct(last["low"].alias("low"), x["diagonal"].alias("high"), (last["votes"] + x["votes"]).alias("votes"), F.least(last["first"], x["first"]).alias("first"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
-        return F.when((F.size(acc) > 0) & (x["diagonal"] - F.element_at(F.concat(acc, F.array(new)), F.greatest(F.size(acc), F.lit(1)))["high"] <= NEAR), grown).otherwise(F.concat(acc, F.array(new)))
-
-    merged = F.when(F.col("phrase") == 1, F.array().cast("array<struct<low:int,high:int,votes:int,first:int>>")).otherwise(F.aggregate("ds", start, fold))
-    whole = F.filter("ds", lambda x: x["votes"] == F.col("pairs"))
-    kept = F.filter(merged, lambda x: x["votes"] >= F.ceil(F.lit(COVER) * F.col("pairs")))
-    return lists.select(*keys, "phrase", "label", "pairs", F.when(F.col("phrase") == 1, F.transform(whole, lambda x: x["first"])).alias("starts"), kept.alias("kept")).where(
-        (F.size(F.coalesce("starts", F.array())) > 0) | (F.size("kept") > 0)
-    )
+    bands = F.when(F.col("phrase"), F.array(diagonal)).otherwise(F.sequence(diagonal - NEAR, diagonal))
+    voted = hits.select(*keys, "tid", "phrase", "label", "length", "need", "tpos", F.explode(bands).alias("band"))
+    counted = voted.groupBy(*keys, "tid", "phrase", "label", "length", "need", "band").agg(F.collect_set("tpos").alias("votes"))
+    k = F.when(F.col("phrase"), 2).otherwise(3)
+    told = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda x: F.sequence(x, x + k - 1)))))
+    counted = counted.withColumn("told", told)  # the template's words that voted
+    return counted.where(F.col("told") >= F.col("need")).select(*keys, "phrase", "label", "band", (F.col("told") / F.col("length")).alias("cover"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels and score per row."""
     base = docs.select(F.col(key), F.col(text).alias("_t"))
-    stamp = F.xxhash64(F.coalesce("_t", F.lit("")))
-    keyed = base.select(F.coalesce(F.col(key), F.lit(-1)).alias("_k"), stamp.alias("_s"), "_t")
-    found = spans(votes(keyed, ["_k", "_s"], "_t"), ["_k", "_s"])
-    phrase = F.col("phrase") == 1
-    cover = F.when(phrase, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.array_max(F.transform("kept", lambda x: x["votes"])) / F.col("pairs")))
-    per = found.groupBy("_k", "_s").agg(
-        F.coalesce(F.sum(F.when(phrase, F.size("starts").cast("long"))), F.lit(0)).alias("n_base"),
-        F.min(F.array_min("starts")).cast("long").alias("first_word"), F.max(F.array_max("starts")).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(phrase, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max(cover).alias("score"),
+    keyed = base.select(F.col(key), F.coalesce(F.col(key), F.lit(-1)).alias("_k"), F.xxhash64(F.coalesce("_t", F.lit(""))).alias("_s"), "_t")
+    start = F.when(F.col("phrase"), F.col("band"))  # on one diagonal the template's first word stands there
+    per = places(keyed, ["_k", "_s"], "_t").groupBy("_k", "_s").agg(
+        F.count(start).alias("n_base"), F.min(start).cast("long").alias("first_word"), F.max(start).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("phrase"), F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("cover").alias("score"),
     )
-    sized = base.select(F.col(key), F.coalesce(F.col(key), F.lit(-1)).alias("_k"), stamp.alias("_s"), F.size(words(F.col("_t"))).cast("long").alias("n_words"))
+    sized = keyed.select(key, "_k", "_s", F.size(words(F.col("_t"))).cast("long").alias("n_words"))
     out = sized.join(per, ["_k", "_s"], "left")
     zero, blank = F.lit(0).cast("long"), F.lit("")
     return out.select(key, "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", blank).alias("base_labels"), F.coalesce("labels", blank).alias("labels"),
@@ -110,20 +96,23 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def sql() -> str:
-    """The same scan as DuckDB SQL over `documents`."""
-    rows = [(True, label, phrase) for phrase, label in PHRASES.items()] + [(False, label, text) for label, text in TEMPLATES]
-    values = ", ".join(f"({k}, {phrase}, '{label}', string_split('{text}', ' '))" for k, (phrase, label, text) in enumerate(rows))
-    return rf"""WITH tpl(tid, phrase, label, w) AS (VALUES {values}),
- tg AS (SELECT tid, phrase, label, len(w) - 1 AS pairs, k - 1 AS tpos, w[k] || ' ' || w[k + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS k FROM tpl)),
- d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
- dg AS (SELECT doc_id, k - 1 AS pos, w[k] || ' ' || w[k + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d)),
- v AS (SELECT doc_id, tid, phrase, label, pairs, pos - tpos AS diag, count(DISTINCT pos) AS votes, min(pos) AS first FROM dg JOIN tg USING (g) GROUP BY ALL),
- whole AS (SELECT doc_id, label, first, 1.0::double AS cover FROM v WHERE phrase AND votes = pairs),
- stepped AS (SELECT *, lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS prev FROM v WHERE NOT phrase),
- islands AS (SELECT *, sum(CASE WHEN diag - prev <= {NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS grp FROM stepped),
- kept AS (SELECT doc_id, label, least(1.0::double, sum(votes)::double / pairs) AS cover FROM islands GROUP BY doc_id, tid, label, pairs, grp HAVING sum(votes) >= ceil({COVER}::double * pairs)),
- every AS (SELECT doc_id, label, first, cover FROM whole UNION ALL SELECT doc_id, label, NULL, cover FROM kept),
- per AS (SELECT doc_id, count(first) AS n_base, min(first) AS first_word, max(first) AS last_word,
-   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (first IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM every GROUP BY 1)
+    """The same scan as DuckDB SQL over `documents`: texts and templates meet word by word, without hashes."""
+    long = ", ".join(f"({k}, '{label}', string_split('{text}', ' '))" for k, (label, text) in enumerate(TEMPLATES))
+    short = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in PHRASES.items())
+    return rf"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ t(doc_id, pos, word) AS (SELECT doc_id, unnest(range(len(w))), unnest(w) FROM d),
+ phrases(label, p) AS (VALUES {short}),
+ begins AS (SELECT t.doc_id, t.pos, label, p FROM t JOIN phrases ON t.word = p[1]),
+ base AS (SELECT b.doc_id, label, b.pos FROM begins b JOIN d USING (doc_id) WHERE w[b.pos + 1 : b.pos + len(p)] = p),
+ long(tid, label, p) AS (VALUES {long}),
+ triples AS (SELECT tid, k AS tpos, p[k + 1] AS a, p[k + 2] AS b, p[k + 3] AS c FROM (SELECT *, unnest(range(len(p) - 2)) AS k FROM long)),
+ said AS (SELECT doc_id, k AS pos, w[k + 1] AS a, w[k + 2] AS b, w[k + 3] AS c FROM (SELECT *, unnest(range(len(w) - 2)) AS k FROM d)),
+ met AS (SELECT DISTINCT doc_id, tid, pos, tpos FROM said JOIN triples USING (a, b, c)),
+ held AS (SELECT x.doc_id, x.tid, x.low, count(DISTINCT y.tpos + o.o) AS told
+   FROM (SELECT DISTINCT doc_id, tid, pos - tpos AS low FROM met) x JOIN met y ON x.doc_id = y.doc_id AND x.tid = y.tid AND y.pos - y.tpos BETWEEN x.low AND x.low + {NEAR}, (VALUES (0), (1), (2)) o(o) GROUP BY 1, 2, 3),
+ kept AS (SELECT doc_id, label, told::double / len(p) AS cover FROM held JOIN long USING (tid) WHERE told >= ceil({COVER}::double * len(p))),
+ every AS (SELECT doc_id, label, pos, 1.0::double AS cover FROM base UNION ALL SELECT doc_id, label, NULL, cover FROM kept),
+ per AS (SELECT doc_id, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (pos IS NOT NULL) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM every GROUP BY 1)
  SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::double) AS score
  FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
