@@ -241,6 +241,56 @@ def test_sibling_articles_are_all_kept():
     assert html.extract(page) == "\n".join(x for k, t in enumerate(texts) for x in (f"Head {k}", t.strip()))
 
 
+def test_class_words_do_not_drop_what_an_article_says():
+    page = "<nav><a>Home</a></nav><article><h2 class='alert'>Head</h2><p class='share-price'>The price of shares rose.</p><div class='related-work'>Others did the same before.</div><div class='ad-slot'>Buy now, it is cheap.</div><div class=share>Tell friends</div><p>End of it.</p></article>"
+    assert html.extract(page) == "Head\nThe price of shares rose.\nOthers did the same before.\nEnd of it."
+
+
+def test_blocks_beside_the_heaviest_are_kept():
+    body = "<div>A short intro.</div><div class=text>" + "<p>One long paragraph of real text that goes on and on.</p>" * 9 + "</div><div><p>A tail.</p></div>"
+    got = html.extract(f"<body><p>First words.</p>{body}</body>").split("\n")
+    assert got[:2] == ["First words.", "A short intro."] and got[-1] == "A tail." and len(got) == 12
+
+
+def test_ratios_decide_on_menus(monkeypatch):
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{k}>word{k}</a></li>" for k in range(9)) + "</ul></nav>"
+    text = "".join(f"<p>Paragraph {k} of an article whose text is long enough.</p>" for k in range(6))
+    plain = html.extract(f"{menu}<div>{text}</div>")
+    assert "word" not in plain and plain.count("\n") == 5
+    monkeypatch.setattr(html, "smooth", lambda v: [1.0] * len(v))
+    assert html.extract(f"{menu}<div>{text}</div>").startswith("word0\nword1")
+
+
+@given(st.lists(st.floats(0, 1e6), min_size=1, max_size=30))
+@settings(max_examples=50, deadline=None)
+def test_smoothing_and_threshold(values):
+    weight = lambda i, k: np.exp(-((i - k) ** 2) / 2) if abs(i - k) <= 3 else 0.0
+    n = range(len(values))
+    want = [sum(weight(i, k) * values[k] for k in n) / sum(weight(i, k) for k in n) for i in n]
+    assert np.allclose(html.smooth(values), want)
+    assert np.isclose(html.threshold(want), min(np.mean(want), np.std(want)))
+
+
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<![", "<![CDATA[x", "]]>", "<!--", "-->", "<!x>", "<nav>", "</nav>", "<a href='", "'>", "</", "<?", "a b", "&amp", "<br/>", "<script>", "</script>", "<article>", "</article>", "<li>", "<span hidden>", "</span>", "<td>", "<", ">", "é"]), max_size=40).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_malformed_pages_never_raise(page):
+    assert isinstance(html.extract(page), str)
+
+
+@pytest.mark.parametrize("part", ["<div><p>some text", "<![", "<!--", "<a href='", "</x>", "<nav>", "<p><div>", "<span hidden>"])
+def test_deep_and_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    html.extract(part * 100_000)
+    html.extract(part * 50_000 + "x>" + "</p>" * 50_000)
+    assert time.perf_counter() - began < 30
+
+
+def test_marked_sections_are_passed_over():
+    assert html.extract("<p>aaa</p><![foo[bar]]><p>bbb</p>") == "aaa\nbbb" and html.extract("<![ x>") == ""
+
+
 def test_pages_query(spark):
     rows = collected(queries.QUERIES["op9_html"](spark, SF))
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
@@ -253,6 +303,7 @@ def test_pages_query(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
     odd = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string").withColumn("text", F.lit(0))
     assert {r["page_id"]: r["text"] for r in collected(html.main_text(odd))} == {1: "", None: "x"}
+    assert html.main_text(odd.limit(0)).count() == 0
 
 
 # --- language
