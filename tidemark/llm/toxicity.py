@@ -10,18 +10,23 @@ number become a probability by a small logistic model.
 
 The insults and the model are learned from a bounded sample (`max_rows`) of labelled rows, in which each
 distinct text counts once; every word and stem of it that passes the test of evidence is an entry, save those
-whose stem says as much. Threats, targets, negations and reporting verbs are short fixed lists in four languages.
+whose stem says as much. Threats, targets, negations and reporting verbs are short fixed lists in four languages;
+the weights of their transducers are learned from the same sample.
 
 Defined cases: null and empty texts have no clause and get the score of a text without matches; a row
-without a label teaches nothing; several labels of an id or a text count as toxic if one is; ids are never inputs.
+without a label teaches nothing; several labels of an id or a text count as toxic if one is; ids are never inputs;
+repeated rows are each scored, and teach once; a very long text is scored whole, clause by clause; words of equal
+evidence are entries alike; without documents, or labels of both kinds, nothing is learned and the fixed lists
+stand; other columns are ignored by rate() and kept by keep().
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ _CLOSES = re.compile(r"[.!?;:]\W*$")
 _HOT = re.compile(bytes([91, *[THREAT], 45, *[SYMBOLS - 1], *[END | THREAT], 45, *[END | SYMBOLS - 1], 93]))
 #: Stems are prefixes of these lengths.
 STEMS = (4, 5, 6, 7, 8)
+#: Toxic texts of the sample that an entry needs, at every size.
+LEAST = 3
 
 
 @dataclass(frozen=True)
@@ -77,17 +84,21 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(arcs, final)
 
 
-def grammar(grades: list[float]) -> Transducer:
-    """The composed machine. grades: the weight of each insult symbol."""
+#: Weights of a threat with a target, a target near an insult, a negated and a reported one, from which learning starts.
+WEIGHTS = [2.0, 0.5, -1.0, -0.5]
+
+
+def grammar(grades: list[float], weights: list[float] = WEIGHTS) -> Transducer:
+    """The composed machine. grades: the weight of each insult symbol; weights: of the four other transducers."""
     every = range(INSULT, SYMBOLS)
     insult = Transducer({(0, s): (0, s, grades[s - INSULT]) for s in every})
     # a threat counts with a target on either side of it
     threat = Transducer(
-        {(0, THREAT): (1, OTHER, 0.0), (0, TARGET): (2, TARGET, 0.0), (1, TARGET): (3, TARGET, 0.0), (2, THREAT): (3, INSULT, 0.0), (3, THREAT): (3, INSULT, 0.0)}, {3: 2.0}
+        {(0, THREAT): (1, OTHER, 0.0), (0, TARGET): (2, TARGET, 0.0), (1, TARGET): (3, TARGET, 0.0), (2, THREAT): (3, INSULT, 0.0), (3, THREAT): (3, INSULT, 0.0)}, {3: weights[0]}
     )
-    target = Transducer({(0, TARGET): (1, TARGET, 0.0), **{(0, s): (2, s, 0.0) for s in every}, **{(1, s): (3, s, 0.0) for s in every}, (2, TARGET): (3, TARGET, 0.0)}, {3: 0.5})
-    negation = Transducer({(0, NEGATION): (1, NEGATION, 0.0), **{(1, s): (2, s, 0.0) for s in every}}, {2: -1.0})
-    report = Transducer({(0, REPORT): (1, REPORT, 0.0), **{(0, s): (2, s, 0.0) for s in every}, **{(1, s): (3, s, 0.0) for s in every}, (2, REPORT): (3, REPORT, 0.0)}, {3: -0.5})
+    target = Transducer({(0, TARGET): (1, TARGET, 0.0), **{(0, s): (2, s, 0.0) for s in every}, **{(1, s): (3, s, 0.0) for s in every}, (2, TARGET): (3, TARGET, 0.0)}, {3: weights[1]})
+    negation = Transducer({(0, NEGATION): (1, NEGATION, 0.0), **{(1, s): (2, s, 0.0) for s in every}}, {2: weights[2]})
+    report = Transducer({(0, REPORT): (1, REPORT, 0.0), **{(0, s): (2, s, 0.0) for s in every}, **{(1, s): (3, s, 0.0) for s in every}, (2, REPORT): (3, REPORT, 0.0)}, {3: weights[3]})
     return compose(compose(compose(compose(insult, threat), target), negation), report)
 
 
@@ -119,6 +130,7 @@ class Model:
     lexicon: dict[str, int]
     grades: list[float]
     coefficients: list[float] = field(default_factory=lambda: [-3.0, 1.0, 0.0, 0.0, 0.0])
+    weights: list[float] = field(default_factory=lambda: list(WEIGHTS))
 
 
 class Scorer:
@@ -126,7 +138,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.symbols = _Symbols(model.lexicon)
-        machine = grammar(model.grades)
+        machine = grammar(model.grades, model.weights)
         states = 1 + max(s for s, _ in machine.arcs)
         self.next = [[machine.arcs[s, x][0] for x in range(SYMBOLS)] for s in range(states)]
         self.weight = [[machine.arcs[s, x][2] for x in range(SYMBOLS)] for s in range(states)]
@@ -160,22 +172,22 @@ class Scorer:
                 found.append(total)
         return found
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | None, found: list[float]) -> list[float]:
         """Intercept, damped sum, greatest, number and density of the matched clauses."""
-        found = self.clauses(text)
         total = sum(found)
         per_word = 100.0 * total / (20 + text.count(" ")) if text else 0.0
         return [1.0, float(np.log1p(total)), max(found, default=0.0), float(np.log1p(len(found))), float(np.log1p(per_word))]
 
-    def score(self, text: str | None) -> float:
-        """Probability of the toxic label."""
-        z = float(np.dot(self.coefficients, self.features(text)))
-        return 1.0 / (1.0 + float(np.exp(-max(-30.0, min(30.0, z)))))
+    def score(self, text: str | None) -> tuple[float, int]:
+        """Probability of the toxic label, and the number of matched clauses."""
+        found = self.clauses(text)
+        z = float(np.dot(self.coefficients, self.features(text, found)))
+        return 1.0 / (1.0 + float(np.exp(-max(-30.0, min(30.0, z))))), len(found)
 
 
 def _candidates(text: str) -> set[str]:
     words = {_CORE.sub("", w) for w in set(text.lower().split())}
-    words = {w for w in words if 2 < len(w) < 40 and any(c.isalpha() for c in w)}
+    words = {w for w in words if any(c.isalpha() for c in w)}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -225,8 +237,8 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
     counted = sample.mapInArrow(_count, T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())]))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
-    least = max(3, bad // 1000)
-    top = best.where((F.col("toxic") >= least) & (F.col("odds") > 2.0)).collect()  # words of `least` of the sample's texts
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    top = best.where((F.col("toxic") >= LEAST) & (F.col("odds") > 2.0) & (F.col("odds") - error > 1.0)).collect()  # words of `LEAST` of the sample's texts
     picked = {r["word"]: (r["odds"], r["toxic"]) for r in top}
     # a longer stem or word whose stem says as much adds nothing
     lean = {w: v for w, v in picked.items() if not any(f"{w.rstrip('*')[:k]}*" in picked and picked[f"{w.rstrip('*')[:k]}*"][0] >= v[0] - 0.7 for k in STEMS if k < len(w.rstrip("*")))}
@@ -235,18 +247,41 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
     grade = {w: int(np.searchsorted(edges, v[0])) for w, v in lean.items()}
     grades = [float(np.mean([lean[w][0] for w in lean if grade[w] == g] or [2.0])) / 2.0 for g in range(GRADES)]
     model = Model(fixed | {w: INSULT + g for w, g in grade.items()}, grades)
-    schema = pa.schema([("f", pa.list_(pa.float64())), ("toxic", pa.int64())])
+    model.weights = _learn_weights(*_collected(sample, partial(_matches, model)))
+    model.coefficients = _fit(*_collected(sample, partial(_features, model)))
+    return model
+
+
+def _matches(model: Model) -> Callable[[str], list[float]]:
+    """Intercept, the sum of all clauses by the weights given, and how many clauses each other transducer matched."""
+    whole = Scorer(model)
+    single = [Scorer(Model(model.lexicon, [0.0] * GRADES, weights=[float(k == i) for i in range(len(WEIGHTS))])) for k in range(len(WEIGHTS))]
+    return lambda text: [1.0, sum(whole.clauses(text)), *(float(len(s.clauses(text))) for s in single)]
+
+
+def _features(model: Model) -> Callable[[str], list[float]]:
+    scorer = Scorer(model)
+    return lambda text: scorer.features(text, scorer.clauses(text))
+
+
+def _collected(sample: DataFrame, function: Callable[[], Callable[[str], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """A function of the sample's texts, with their labels; max_rows rows at most."""
 
     def make():
-        scorer = Scorer(model)
-        return lambda text, toxic: (scorer.features(text), toxic)
+        of = function()
+        return lambda text, toxic: (of(text), toxic)
 
-    seen = map_rows(sample, make, schema).groupBy("f", "toxic").count().collect()  # max_rows rows at most
-    if len({r["toxic"] for r in seen}) < 2:  # labels whose documents are not there
-        return model
-    x, y = np.array([r["f"] for r in seen for _ in range(r["count"])]), np.array([r["toxic"] for r in seen for _ in range(r["count"])], float)
-    model.coefficients = _fit(x, y)
-    return model
+    seen = map_rows(sample, make, pa.schema([("f", pa.list_(pa.float64())), ("toxic", pa.int64())])).groupBy("f", "toxic").count().collect()
+    times = [r["count"] for r in seen]
+    return np.repeat(np.array([r["f"] for r in seen]), times, axis=0), np.repeat(np.array([r["toxic"] for r in seen], float), times)
+
+
+def _learn_weights(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """The four weights: where matches tell more or less than the weight they have, it moves, to a quarter or four times of it."""
+    b = _fit(x, y, ridge=1e-2)
+    scale = max(b[1], 0.05)
+    moved = [w + d / scale for w, d in zip(WEIGHTS, b[2:], strict=True)]
+    return [old * min(4.0, max(0.25, w / old)) for w, old in zip(moved, WEIGHTS, strict=True)]
 
 
 def rate(df: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,8 +292,8 @@ def rate(df: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id
         scorer = Scorer(model)
 
         def row(k, t):
-            score = scorer.score(t)
-            return k, score, int(score >= threshold), len(scorer.clauses(t))
+            score, matched = scorer.score(t)
+            return k, score, int(score >= threshold), matched
 
         return row
 
@@ -270,6 +305,6 @@ def keep(df: DataFrame, model: Model, threshold: float = 0.3, text: str = "text"
 
     def make():
         scorer = Scorer(model)
-        return lambda t: scorer.score(t) < threshold
+        return lambda t: scorer.score(t)[0] < threshold
 
     return keep_rows(df, make, text)
