@@ -9,20 +9,24 @@ still remain. Items of fewer than 12 characters, which allow no edit, are looked
 block is held against all texts.
 
 Defined cases: null and empty texts are clean; null items and items without a letter or digit are ignored;
-repeated items all report; repeated rows are each judged; an empty benchmark makes every text clean.
+repeated items all report; repeated rows are each judged; an empty benchmark makes every text clean; an empty
+table gives no rows; a very long text is searched whole, one at a time; of bands that tie the first is aligned
+first, and an item reports once; other columns are ignored by find() and kept by keep().
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_rows, map_rows
+from tidemark.llm.common import Scratch, keep_rows, map_rows
 
 #: Characters of the longest q-grams; shorter items are looked up whole.
 Q = 12
@@ -207,36 +211,42 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
     items = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item), F.lit(-1)).cast("long").alias("i"), F.col(text).alias("t"))
     chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     n = -(-chars // BLOCK_CHARS)
-    for k in range(n):
+    for k in range(n):  # one block at a time passes the driver
         yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
+def _in_turn(df: DataFrame, blocks: Iterator[list[tuple[int, str]]], step: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """step for every block. The rows are written between blocks, so that no worker holds two indexes."""
+    scratch, shared = Scratch(df.sparkSession, "decontamination"), None
+    for k, block in enumerate(blocks):
+        if shared is not None:
+            df = scratch.keep(df, f"after-{k}")
+            scratch.drop(f"after-{k - 1}")
+            shared.unpersist()
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        df = step(df, shared)
+    return df
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, contaminated, item_ids, least_edits and the text's spans per row: one map over the rows for each block of items."""
     schema = pa.schema([(key, pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.list_(pa.int64())))])
     out = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).withColumn("hits", F.array().cast("array<array<bigint>>"))
-    spark = docs.sparkSession
-    for block in _blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(block)
 
-        def make(shared=shared):
-            index = Index(shared.value)
-            return lambda k, t, hits: (k, t, [*hits, *map(list, index.search(t))] if t else hits)
+    def make(shared):
+        index = Index(shared.value)
+        return lambda k, t, hits: (k, t, [*hits, *map(list, index.search(t))] if t else hits)
 
-        out = map_rows(out, make, schema)
+    out = _in_turn(out, _blocks(benchmark, item, item_text), lambda df, shared: map_rows(df, partial(make, shared), schema))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h[0])))
     return out.select(key, (F.size("hits") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_min(F.transform("hits", lambda h: h[2])).alias("least_edits"), F.transform("hits", lambda h: h[1]).alias("ends"))
 
 
-
 def keep(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """df without the rows whose text holds an item; blocks of items filter one after another."""
-    for block in _blocks(benchmark, item, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(block)
 
-        def make(shared=shared):
-            index = Index(shared.value)
-            return lambda t: not (t and index.search(t))
+    def make(shared):
+        index = Index(shared.value)
+        return lambda t: not (t and index.search(t))
 
-        df = keep_rows(df, make, text)
-    return df
+    return _in_turn(df, _blocks(benchmark, item, item_text), lambda rows, shared: keep_rows(rows, partial(make, shared), text))
