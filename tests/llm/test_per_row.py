@@ -61,7 +61,7 @@ def test_corrupt_media_are_reported(spark):
 
 
 def test_media_query(wide):
-    rows = collected(ogg.digests(ogg.read_media(ogg.with_media(wide.drop("media"), "text").select("doc_id", "media"))))
+    rows = collected(ogg.digests(ogg.read_media(ogg.with_media(wide, "text").select("doc_id", "media"))))
     assert len(rows) == len(DOCS)
     want = {}
     for i, t in DOCS:
@@ -357,6 +357,46 @@ def test_toxicity(spark, wide, nothing):
     assert toxicity.rate(nothing, empty).count() == 0 and toxicity.keep(wide, empty).columns == wide.columns
 
 
+def test_scores_match_a_plain_reading_of_the_clauses(spark):
+    """Lexicon, clauses, the five rules and the logistic model, without transducers."""
+    import math
+
+    words = {"zorb": toxicity.INSULT, "zorble*": toxicity.INSULT + 3} | {w: s for s, ws in ((toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.THREAT, toxicity.THREATS)) for w in ws}
+    model = toxicity.Model(words, [1.0 + k / 4 for k in range(toxicity.GRADES)], [-3.0, 1.0, 0.5, 0.25, 0.125], [1.5, 0.25, -0.75, -0.25])
+
+    def clause(said):
+        insults = [k for k, s in enumerate(said) if s >= toxicity.INSULT]
+        targets, threats = (any(s == x for s in said) for x in (toxicity.TARGET, toxicity.THREAT))
+        total = sum(model.grades[said[k] - toxicity.INSULT] for k in insults)
+        # a threat that follows a target is an insult to the rules after it
+        first = next((k for k, s in enumerate(said) if s in (toxicity.TARGET, toxicity.THREAT)), None)
+        turned, met = list(said), False
+        for k, s in enumerate(said):
+            if s == toxicity.THREAT:
+                turned[k] = toxicity.INSULT if targets and any(x == toxicity.TARGET for x in said[:k]) else toxicity.OTHER if k == first else s
+        met = targets and threats
+        marks = [k for k, s in enumerate(turned) if s >= toxicity.INSULT]
+        total += 1.5 * met
+        total += 0.25 * (bool(marks) and targets)
+        total -= 0.75 * any(turned[k] >= toxicity.INSULT and any(x == toxicity.NEGATION for x in turned[:k]) for k in marks)
+        total -= 0.25 * (bool(marks) and any(s == toxicity.REPORT for s in said))
+        return total
+
+    vocabulary = ["zorb", "Zorbles", "you", "not", "said", "kill", "plain", "word", "they", "never"]
+    random = np.random.default_rng(4)
+    texts = [" ".join(random.choice(vocabulary, 6)) + "." for _ in range(300)]
+    for t in texts:
+        said = [words.get(w, words["zorble*"] if w == "zorbles" else 0) for w in t.lower().strip(".").split()]
+        hot = any(s >= toxicity.THREAT for s in said)
+        found = [x for x in [clause(said)] if hot and x > 0] if said.count(toxicity.THREAT) <= 1 else None
+        if found is None:  # several threats in a clause: the first stands for them
+            continue
+        got = toxicity.Scorer(model).clauses(t)
+        assert np.allclose(got, found), t
+        z = -3.0 + sum(c * f for c, f in zip([1.0, 0.5, 0.25, 0.125], [math.log1p(sum(found)), max(found, default=0.0), math.log1p(len(found)), math.log1p(100 * sum(found) / (20 + t.count(" ")))], strict=True))
+        assert np.isclose(toxicity.Scorer(model).score(t)[0], 1 / (1 + math.exp(-z)))
+
+
 def test_copies_of_a_long_toxic_text_teach_once(spark):
     copied = " ".join(f"zq{k}rarely" for k in range(3_000))
     rows = [(k, f"you zorble number{k} and more", 1) for k in range(40)] + [(100 + k, f"a kind word{k} and more", 0) for k in range(60)]

@@ -4,7 +4,9 @@ Each merge takes the root's pair, joins it with its right neighbour and updates
 of n bytes takes O(n log n). A text is cut by the pattern first; pieces repeat, and a bounded cache
 keeps the ids of those seen.
 
-Defined cases: null and empty texts have no tokens; bytes missing from the ranks raise KeyError.
+Defined cases: null and empty texts have no tokens; bytes missing from the ranks raise KeyError; of pairs of
+equal rank the leftmost is merged first; a very long text, or piece, is encoded whole; repeated rows are each
+encoded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -54,7 +54,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:  # tests, on one machine
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

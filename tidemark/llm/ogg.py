@@ -7,8 +7,10 @@ borders, sorts pages into streams by serial number, dates packets from granule p
 streams by time.
 
 Defined cases: a null text is the empty text; an empty payload is one packet of 255s; equal texts give
-equal media; corrupt media give a null payload and a reason in `error`, and never fail the job; other
-columns pass through untouched, and clashing names must be renamed by the caller first.
+equal media; corrupt media give a null payload and a reason in `error`, and never fail the job; a very long
+text is one recording, held whole; repeated rows are each stored; packets never tie, as each has its time; an
+empty table gives no rows; other columns pass through untouched, save one of the media column's name, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -189,17 +191,18 @@ def decode(media: bytes) -> tuple[bytes, dict]:
 _MEDIA_FEATURES = ["streams", "pages", "packets", "end_ms", "mean", "rms"]
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _encode_batches(batches: Iterator[pa.RecordBatch], at: int, kept: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = batch.column(at).to_pylist()
         media = pa.array([encode(pad((t or "").encode())) for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, media], names=[*batch.schema.names, "media"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), media], names=names)
 
 
-def with_media(df: DataFrame, text: str) -> DataFrame:
-    """df and a binary column `media` that stores the text's padded UTF-8 bytes."""
-    schema = T.StructType([*df.schema.fields, T.StructField("media", T.BinaryType())])
-    return df.mapInArrow(partial(_encode_batches, at=df.columns.index(text)), schema)
+def with_media(df: DataFrame, text: str, out: str = "media") -> DataFrame:
+    """df and a binary column `out` that stores the text's padded UTF-8 bytes."""
+    kept = [k for k, f in enumerate(df.schema.fields) if f.name.lower() != out.lower()]
+    schema = T.StructType([*(df.schema.fields[k] for k in kept), T.StructField(out, T.BinaryType())])
+    return df.mapInArrow(partial(_encode_batches, at=df.columns.index(text), kept=kept, names=schema.names), schema)
 
 
 def _read_one(doc_id, media):
