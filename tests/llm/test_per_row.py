@@ -319,10 +319,40 @@ def test_language(spark, wide, nothing):
     found = collected(langid.identify(wide, content))
     assert len(found) == len(DOCS)
     assert all((r["lang_pred"] == "und") == (r["doc_id"] in (3, 4, 5, 11)) for r in found)
+    foreign = spark.createDataFrame([(1, "漢字 仮名 文字"), (2, "the and of to in is that")], "doc_id long, text string")
+    assert {r["doc_id"]: r["rejected"] for r in collected(langid.identify(foreign, content))} == {1: True, 2: False}
     assert langid.learn(nothing, F.lit(True)) == {}
     assert langid.identify(nothing, {}).count() == 0
 
 
+def test_sizes_match_plain_zstandard():
+    """The least sum over blocks and, where that is narrow, over blocks after stretches of the dictionary."""
+    import zstandard
+
+    random = np.random.default_rng(2)
+    letters = {"a": "abcde ", "b": "abcdf ", "c": "vwxyz "}
+    content = {k: "".join(random.choice(list(v), 9_000)).encode() for k, v in letters.items()}
+
+    def size(data, name, level):
+        return len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False).compress(data))
+
+    model, narrow = langid.Classifier(content), 0
+    for k in range(60):
+        text = "".join(random.choice(list(letters["abc"[k % 3]]), int(random.integers(1, 5_000))))
+        if not text.strip():
+            continue
+        data = " ".join(text.split()).encode()
+        blocks = [data[i : i + langid.BLOCK] for i in range(0, len(data), langid.BLOCK)]
+        found = sorted((sum(size(b, name, langid.LEVEL) for b in blocks), name) for name in content)
+        if found[1][0] - found[0][0] < langid.NARROW * found[0][0]:
+            narrow += 1
+            cut = {n: [content[n].decode()[j * 1000 : j * 1000 + langid.STRETCH].encode() + b" " for j in range(1, 9)] for n in content}
+            found = sorted((sum(size(x + b, n, langid.FINE) - size(x, n, langid.FINE) for b in blocks for x in cut[n]), n) for n in content)
+        name, _, margin = model.classify(text)
+        assert (name, margin) == (found[0][1], (found[1][0] - found[0][0]) / max(found[0][0], 1))
+    assert 0 < narrow < 60
+
+
 # --- toxicity
 
 
