@@ -121,7 +121,7 @@ def test_bpe_query(wide, nothing, reference):
 # --- chat
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool|x", "null", "a\\"]), st.text(max_size=30) | st.sampled_from(["</s>", "\\</s>", "<\\/s>", "[INST] ok [/INST]", "<|end|>", "\\\\", "<<SYS>>\n"])), max_size=6))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool|x", "null", "a\\", "a|>b", "\\|>", "x<|end|>y", "<s>[INST] "]) | st.text("|>\\<[plba:", max_size=8), st.text(max_size=30) | st.sampled_from(["</s>", "\\</s>", "<\\/s>", "[INST] ok [/INST]", "<|end|>", "\\\\", "<<SYS>>\n"])), max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_template_is_reversible(turns):
     formatted = "".join(chat.format_turn(r, t)[0] for r, t in turns)
@@ -134,8 +134,9 @@ def test_chat_packs(spark):
     rows = [(k, t, r, x) for k in range(40) for t, (r, x) in enumerate([("system", "be brief"), ("user", f"hi {k % 3}"), ("assistant", f"yes {k % 5}"), ("user", None), (None, "?")][: 1 + k % 5])]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (None, None, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(1))
-    packs = chat.pack(df).cache()
-    got = {r["conv_id"]: r for r in collected(chat.digests(chat.unpack(packs)))}
+    words = (queries.VOCABULARY, public_tokenizers.PATTERN)
+    packs = chat.pack(df, *words).cache()
+    got = {r["conv_id"]: r for r in collected(chat.digests(chat.unpack(packs, *words)))}
     by = {}
     for c, t, r, x in rows:
         by.setdefault(c, []).append((r or "null", x or ""))
@@ -145,16 +146,23 @@ def test_chat_packs(spark):
         assert got[c]["n_turns"] == len(turns)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for p in packs.collect():  # attention reaches exactly the ancestors, positions follow the parent
+    for p in packs.collect():  # attention reaches exactly the ancestors, positions follow the parent, loss is the assistant's
         nodes = p["nodes"]
+        assert len(p["ids"]) == len(p["positions"]) == len(p["loss"]) == sum(n["end"] - n["start"] for n in nodes)
         for conv in p["conversations"]:
+            turns = by[conv["conv_id"]]
             for depth, k in enumerate(conv["nodes"]):
-                covered = {x for a, b in nodes[k]["attends"] for x in range(a, b)}
-                assert covered == {x for j in conv["nodes"][:depth] for x in range(nodes[j]["start"], nodes[j]["end"])}
-                assert nodes[k]["position"] == len(covered)
+                covered = [x for a, b in nodes[k]["attends"] for x in range(a, b)]
+                assert covered == [x for j in conv["nodes"][:depth] for x in range(nodes[j]["start"], nodes[j]["end"])]
+                span = slice(nodes[k]["start"], nodes[k]["end"])
+                assert p["positions"][span] == list(range(len(covered), len(covered) + span.stop - span.start))
+                learned = np.array([i for i, x in zip(p["ids"][span], p["loss"][span]) if x], "<u4").tobytes()
+                assert CODEC.decode(learned).decode() == (chat.escape(turns[depth][1]) if turns[depth][0] == "assistant" else "")
     assert sum(len(p["nodes"]) for p in packs.collect()) < len(rows)  # shared turns are emitted once a pack
+    small = chat.pack(df.coalesce(1), *words, limit=20).collect()
+    assert len(small) > 5 and sum(p["repeated"] for p in small) > 0
     packs.unpersist()
-    assert chat.digests(chat.unpack(chat.pack(df.limit(0)))).count() == 0
+    assert chat.digests(chat.unpack(chat.pack(df.limit(0), *words), *words)).count() == 0
 
 
 # --- licences

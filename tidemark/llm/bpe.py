@@ -131,7 +131,7 @@ class Codec:
 _LAST: list[Codec] = []
 
 
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def shared_codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     """The worker's codec; a reused worker process goes on with the pieces it has seen."""
     if not _LAST or _LAST[0].ids.ranks != ranks or _LAST[0].pieces.pattern != pattern:
         _LAST[:] = [Codec(ranks, pattern)]
@@ -165,7 +165,7 @@ def _with_codec(df: DataFrame, path: str, pattern: str, row: Callable) -> Callab
     shared = df.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def make():
-        codec = _codec(shared.value, pattern)
+        codec = shared_codec(shared.value, pattern)
         return lambda k, t: row(codec, k, t)
 
     return make

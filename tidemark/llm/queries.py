@@ -57,7 +57,7 @@ def op5_decontamination(spark, d):
 def op6_chat(spark, d):
     planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return chat.digests(chat.unpack(chat.pack(rows)))
+    return chat.digests(chat.unpack(chat.pack(rows, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY, public_tokenizers.PATTERN))
 
 
 @query
