@@ -76,6 +76,7 @@ def test_odd_rows_and_dense_families(spark, wide, nothing):
 
 def test_small_tiles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "SHINGLES", 10)
     random.seed(8)
     rows = [(i, " ".join([f"w{k}" if random.random() > 0.05 else f"y{random.randrange(99)}" for k in range(50)])) for i in range(60)]
     assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute_groups(rows, 3, 85)

@@ -6,11 +6,13 @@
    rarest first, and a class keeps only the prefix of its pairs that two classes with `matches` equal
    coordinates cannot both miss. Pairs that one class holds come first in the order, so a class with
    enough of them is done, and long posting lists are skipped.
-3. Each posting list is merged with its least class only; collisions are counted per pair of classes,
-   and what remains is confirmed on full sets. That costs a list's length, not its square.
+3. Each posting list is merged with its least class only, which costs a list's length, not its square.
+   Collisions are counted per pair of classes; the coordinates whose lists were skipped are then probed in
+   both signatures, and pairs whose count reaches `matches` are confirmed on full sets.
 4. Lists that still hold several components form families. In a family, classes outside its largest
-   component are compared with all others in tiles of bounded size, by matching coordinates and then by
-   full sets. No link is lost, and a component of many copies is never compared with itself.
+   component are compared with all others in tiles, whose size is bounded in classes and in shingles, by
+   matching coordinates and then by full sets. No link is lost, and a component of many copies is never
+   compared with itself.
 5. Links are contracted to components by repeated minima.
 
 `matches` lies more than five standard deviations below what a pair at the threshold has, so that a pair is
@@ -19,8 +21,9 @@ missed about once in a million. Classes and shingles are named by 64-bit hashes.
 Defined cases: words are what white space leaves, with A-Z lower-cased; a text of fewer words than a
 shingle is one shingle; null texts and texts without words have size 0 and are linked with nothing;
 repeated rows are one class and all returned; rows without an id are returned unlinked, with a null
-component and kept false; rows that
-share an id but not a text are documents of their own.
+component and kept false; rows that share an id but not a text are documents of their own, told apart by
+`text_hash`; a very long text is one set, held whole; of equal ids the least is the component's, and of lists of
+equal length the one of least hash comes first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import Scratch, slices
 
 COORDINATES = 64
-#: Classes a tile holds of either side.
-TILE = 512
+#: Classes a tile holds of either side, about; as many shingles as SHINGLES count as one more.
+TILE, SHINGLES = 128, 1024
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -82,7 +85,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least.astype(np.uint32).view(np.int32)
 
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -96,7 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             sigs.append(signature(s))
         flat = pa.array(np.concatenate(sigs), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDINATES), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n", "node", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), lists], names=_SIGNED.names)
 
 
 _SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
@@ -211,11 +214,11 @@ def least_matches(percent: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept per row; see the module for the method."""
+    """doc_id, n_shingles, component_id, kept and text_hash per row; see the module for the method."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.keep(rows.mapInArrow(partial(_sign, size=size), _SIGNED), "signed")
+    signed = scratch.keep(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sign, size=size), _SIGNED), "signed")
     matches = least_matches(percent)
     prefix = COORDINATES - matches + 1
 
@@ -227,11 +230,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     posted = scratch.keep(listed.where(take > 0).select("node", F.explode(F.slice("ps", F.lit(1), take)).alias("p")).select("node", "p.pair"), "posted")
 
     heads = posted.groupBy("pair").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    met = posted.join(heads, "pair").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("collisions"))
+    merged = F.bit_or(F.expr("shiftleft(1L, cast(shiftright(pair + 2147483648L, 32) as int))"))  # a pair is its coordinate * 2 ** 32 + a signed value
+    met = posted.join(heads, "pair").where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("collisions"), merged.alias("merged"))
     sized = nodes.select("node", "n", "sig")
     head = sized.select(F.col("node").alias("head"), F.col("n").alias("m"), F.col("sig").alias("hsig"))
-    equal = F.size(F.filter(F.zip_with("sig", "hsig", lambda x, y: x == y), lambda x: x))
-    near = met.join(sized, "node").join(head, "head").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (equal >= matches)).select("node", "head", "n", "m")
+    skipped = F.expr(f"size(filter(sequence(0, {COORDINATES - 1}), k -> sig[k] = hsig[k] and getbit(merged, k) = 0))")
+    near = met.join(sized, "node").join(head, "head").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("collisions") + skipped >= matches)).select("node", "head", "n", "m")
     near = scratch.keep(near, "near")
 
     # full sets of the classes that the lists still hold, read again from one text of each
@@ -252,9 +256,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     labels = labels.withColumn("comp", F.col("node")) if final is None else labels.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = labels.join(least, "comp").select("node", "component_id")
-    out = signed.select("doc_id", "n", "node").join(named, "node", "left")
+    out = signed.select("doc_id", "n", "node", "text_hash").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")
 
 
 def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets: DataFrame, scratch: Scratch, matches: int, percent: int) -> DataFrame | None:
@@ -265,8 +269,9 @@ def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets:
     families = components(open_.select(F.col("node").alias("a"), F.col("head").alias("b")), scratch, "family")
     if families is None:
         return None
-    members = open_.select("node", "comp").distinct().join(families.withColumnRenamed("comp", "fam"), "node")
-    counted = members.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
+    weighed = sized.select("node", (1 + F.expr(f"n div {SHINGLES}")).alias("w"))
+    members = open_.select("node", "comp").distinct().join(families.withColumnRenamed("comp", "fam"), "node").join(weighed, "node")
+    counted = members.groupBy("fam", "comp").agg(F.sum("w").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
     size = counted.select("fam", F.col("largest.comp").alias("main"), F.ceil((F.col("m") - F.col("largest.c")) / TILE).cast("int").alias("asks"), F.ceil(F.col("m") / TILE).cast("int").alias("all"))
     dealt = scratch.keep(members.join(size, "fam").where("asks > 0"), "dealt")
     spread = F.xxhash64("node")
