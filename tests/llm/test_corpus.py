@@ -261,9 +261,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(corpus_pipeline.run(spark, sf).select("doc_id", "ids_sha256").collect()) == sorted(kept.select("doc_id", "ids_sha256").collect())
 
 
-@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize("k", range(5))
 def test_stages_take_empty_and_odd_documents(spark, k):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(i, t, None, None, None) for i, t in DOCS], schema)
     for df in (odd, odd.limit(0)):
-        assert corpus_pipeline.STAGES[k][1](spark, df, SF).columns == df.columns
+        out = corpus_pipeline.STAGES[k][1](spark, df, SF)
+        assert out.columns == (df.columns if k < 4 else ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        assert out.count() <= df.count()
+
+
+def test_one_row_of_a_repeated_document_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, a), (7, b), (7, b), (None, a), (None, c), (None, c), (9, None), (9, None), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    want = [(3, a), (5, b), (None, c), (9, None), (None, None), (8, "")]
+    assert out.columns == docs.columns and sorted(map(str, ((r[0], r[1]) for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_the_whole_pipeline_takes_odd_documents(spark, tmp_path):
+    import shutil
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path)
+    clean = [(100 + k, t, lang, None, None) for k, (t, lang) in enumerate(duckdb.sql(f"SELECT text, lang FROM '{SF}/documents.parquet' WHERE lang IS NOT NULL AND len(text) > 200").fetchall()[:60])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in DOCS] + clean, schema)
+    for df in (odd, odd.limit(0)):
+        df.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert bool(out) == (df is odd) and all(len(r["ids"]) == 4 * r["n_tokens"] for r in out)
