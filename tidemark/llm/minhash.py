@@ -144,67 +144,54 @@ def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _tile(rows: list[pa.RecordBatch], matches: int, percent: int) -> list[tuple[int, int]]:
-    """Links between the queries and the others of one tile, as many as join its components."""
-    t = pa.Table.from_batches(rows)
-    node, comp, ask, n = (t.column(c).to_numpy() for c in ("node", "comp", "ask", "n"))
-    sig = np.vstack([np.asarray(x, np.int32) for x in t.column("sig").to_pylist()])
-    sets = t.column("s")
-    up = {int(c): int(c) for c in comp}
+class _Block:
+    """Classes of a family as arrays."""
+
+    def __init__(self, classes: pa.StructArray) -> None:
+        node, comp, n, sig, sets = classes.flatten()
+        self.node, self.comp, self.n = node.to_numpy(), comp.to_numpy(), n.to_numpy()
+        self.sig = sig.flatten().to_numpy().reshape(-1, COORDINATES)
+        self.sets = np.split(sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())[:-1])
+
+
+def _tile(asks: _Block, others: _Block, matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks, as many as join their components."""
+    up = {int(c): int(c) for x in (asks, others) for c in x.comp}
 
     def top(c: int) -> int:
         while up[c] != c:
             up[c] = c = up[up[c]]
         return c
 
-    full: dict[int, np.ndarray] = {}
-
-    def get(k: int) -> np.ndarray:
-        if k not in full:
-            full[k] = np.asarray(sets[k].as_py(), np.int64)
-        return full[k]
-
     found = []
-    others = np.flatnonzero(~ask)
-    for q in np.flatnonzero(ask):
-        equal = (sig[others] == sig[q]).sum(axis=1)
-        near = (np.minimum(n[others], n[q]) * 100 >= np.maximum(n[others], n[q]) * percent) & (node[others] != node[q])
-        near &= equal >= matches
-        candidates = others[near]
+    for q in range(len(asks.node)):
+        equal = (others.sig == asks.sig[q]).sum(axis=1)
+        n = int(asks.n[q])
+        near = (np.minimum(others.n, n) * 100 >= np.maximum(others.n, n) * percent) & (others.node != asks.node[q]) & (equal >= matches)
+        candidates = np.flatnonzero(near)
         for k in candidates[np.argsort(-equal[near], kind="stable")]:
-            a, b = top(int(comp[q])), top(int(comp[k]))
+            a, b = top(int(asks.comp[q])), top(int(others.comp[k]))
             if a == b:
                 continue
-            common = len(np.intersect1d(get(q), get(k), assume_unique=True))
-            if common * 100 >= (int(n[q]) + int(n[k]) - common) * percent:
+            common = len(np.intersect1d(asks.sets[q], others.sets[k], assume_unique=True))
+            if common * 100 >= (n + int(others.n[k]) - common) * percent:
                 up[a] = b
-                found.append((int(node[q]), int(node[k])))
+                found.append((int(asks.node[q]), int(others.node[k])))
     return found
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile; one tile is held at a time."""
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def done() -> pa.RecordBatch:
-        links = _tile(held, matches, percent)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-
-    for batch in slices(batches):
-        keys = list(zip(*[batch.column(c).to_pylist() for c in ("fam", "i", "j")], strict=True))
-        start = 0
-        for k in range(batch.num_rows + 1):
-            if k == batch.num_rows or keys[k] != key:
-                if k > start:
-                    held.append(batch.slice(start, k - start))
-                start = k
-                if k < batch.num_rows:
-                    if held:
-                        yield done()
-                    held, key = [], keys[k]
-    if held:
-        yield done()
+    """A tile's two blocks come one after the other, the asking one last."""
+    others = key = None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            *at, ask = (batch.column(c)[k].as_py() for c in ("fam", "i", "j", "ask"))
+            block = _Block(batch.column("block")[k].values)
+            if not ask:
+                others, key = block, at
+            elif at == key:
+                links = _tile(block, others, matches, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
 
 def least_matches(percent: int) -> int:
@@ -274,10 +261,14 @@ def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets:
     counted = members.groupBy("fam", "comp").agg(F.sum("w").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
     size = counted.select("fam", F.col("largest.comp").alias("main"), F.ceil((F.col("m") - F.col("largest.c")) / TILE).cast("int").alias("asks"), F.ceil(F.col("m") / TILE).cast("int").alias("all"))
     dealt = scratch.keep(members.join(size, "fam").where("asks > 0"), "dealt")
+    # blocks of classes are rows: the classes outside the main component ask, all of the family are asked
     spread = F.xxhash64("node")
-    across = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asks = dealt.where("comp <> main").select("fam", F.pmod(spread, F.col("asks")).cast("int").alias("i"), across(F.col("all")).alias("j"), "node", "comp", F.lit(True).alias("ask"))
-    others = dealt.select("fam", across(F.col("asks")).alias("i"), F.pmod(spread, F.col("all")).cast("int").alias("j"), "node", "comp", F.lit(False).alias("ask"))
-    rows = asks.unionByName(others).join(sized, "node").join(sets, "node").select("fam", "i", "j", "node", "comp", "ask", "n", "sig", "s")
-    tiles = rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    asked = F.struct(F.lit(False).alias("ask"), F.pmod(spread, F.col("all")).cast("int").alias("place"))
+    asking = F.struct(F.lit(True).alias("ask"), F.pmod(spread, F.col("asks")).cast("int").alias("place"))
+    sides = F.explode(F.when(F.col("comp") == F.col("main"), F.array(asked)).otherwise(F.array(asked, asking)))
+    classes = dealt.join(sized, "node").join(sets, "node").select("fam", "asks", "all", F.struct("node", "comp", "n", "sig", "s").alias("c"), sides.alias("side"))
+    blocks = classes.groupBy("fam", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
+    across = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), F.col("all")).otherwise(F.col("asks")) - 1))
+    rows = blocks.withColumn("other", across).select("fam", F.when(F.col("ask"), F.col("place")).otherwise(F.col("other")).alias("i"), F.when(F.col("ask"), F.col("other")).otherwise(F.col("place")).alias("j"), "ask", "block")
+    tiles = rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "ask")
     return scratch.keep(tiles.mapInArrow(partial(_tiles, matches=matches, percent=percent), _LINK), "later")
