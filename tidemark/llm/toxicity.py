@@ -52,8 +52,8 @@ _CLOSES = re.compile(r"[.!?;:]\W*$")
 _HOT = re.compile(bytes([91, *[THREAT], 45, *[SYMBOLS - 1], *[END | THREAT], 45, *[END | SYMBOLS - 1], 93]))
 #: Stems are prefixes of these lengths.
 STEMS = (4, 5, 6, 7, 8)
-#: Toxic texts of the sample that an entry needs, at every size.
-LEAST = 3
+#: Toxic texts of the sample that an entry needs, and its least log odds less their standard error, at every size.
+LEAST, EVIDENCE = 3, 2.7
 
 
 @dataclass(frozen=True)
@@ -238,7 +238,7 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    top = best.where((F.col("toxic") >= LEAST) & (F.col("odds") > 2.0) & (F.col("odds") - error > 1.0)).collect()  # words of `LEAST` of the sample's texts
+    top = best.where((F.col("toxic") >= LEAST) & (F.col("odds") - error > EVIDENCE)).collect()  # words of `LEAST` of the sample's texts
     picked = {r["word"]: (r["odds"], r["toxic"]) for r in top}
     # a longer stem or word whose stem says as much adds nothing
     lean = {w: v for w, v in picked.items() if not any(f"{w.rstrip('*')[:k]}*" in picked and picked[f"{w.rstrip('*')[:k]}*"][0] >= v[0] - 0.7 for k in STEMS if k < len(w.rstrip("*")))}
