@@ -34,7 +34,7 @@ LEVEL, FINE, NARROW = 6, 12, 0.05
 #: Stretches of a dictionary that a block is encoded after, and their characters.
 STRETCHES, STRETCH = 8, 400
 #: Margin under which a language is not told.
-MARGIN = 0.005
+MARGIN = 0.001
 _GAPS = re.compile(r"[\W\d_]+")
 
 
