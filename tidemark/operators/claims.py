@@ -83,6 +83,16 @@ def claim_arrivals(claims: DataFrame, encounters: DataFrame, rule: Restatement =
     return with_restatements(priced.drop("_cost", "_cover"), "claim_id", rule)
 
 
+def restatement_pairs(log: DataFrame) -> DataFrame:
+    """Of each restated claim the days between its two arrivals, both amounts, and whether the log agrees on the first."""
+    first, last = log.where(~F.col("is_restatement")).alias("o"), log.where("is_restatement").alias("r")
+    later = days_between(F.col("o.received_date"), F.col("r.received_date"))
+    return first.join(last, F.col("o.claim_id") == F.col("r.claim_id")).select(
+        "o.claim_id", later.alias("days_later"), F.col("o.amount_after").alias("amount_first"), F.col("r.amount_after").alias("amount_last"),
+        (F.col("r.amount_before") == F.col("o.amount_after")).alias("agrees"),
+    )
+
+
 def injection_log(arrivals: DataFrame) -> DataFrame:
     """The answer key: what was injected into each arrival."""
     return arrivals.select(

@@ -71,12 +71,23 @@ def readmission_rate(spark, d):
     return readmission.readmission_rate(measure.withColumn("admit_year", F.year("admit_date").cast("bigint")), "admit_year", "segment")
 
 
-@query(f"WITH {MEASURE} SELECT count(*) AS index_rows, 0::bigint AS gaps FROM measure")
+def _beside(*counted: tuple[DataFrame, str]) -> DataFrame:
+    """One row with the number of rows of each frame."""
+    first, *rest = [df.agg(F.count(F.lit(1)).alias(name)) for df, name in counted]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), rest, first)
+
+
+@query(f"""WITH {MEASURE}, due AS (SELECT encounter_id FROM enc WHERE stay AND date_diff('day', discharge_date, (SELECT max(admit_date) FROM enc)) >= 30),
+  planted AS (SELECT CASE WHEN index_encounter_id % 97 = 1 THEN -index_encounter_id ELSE index_encounter_id END AS index_encounter_id FROM measure WHERE index_encounter_id % 97 <> 0)
+  SELECT (SELECT count(*) FROM measure) AS index_rows,
+    (SELECT count(*) FROM due FULL JOIN measure ON index_encounter_id = encounter_id WHERE encounter_id IS NULL OR index_encounter_id IS NULL) AS gaps,
+    (SELECT count(*) FROM due FULL JOIN planted ON index_encounter_id = encounter_id WHERE encounter_id IS NULL OR index_encounter_id IS NULL) AS planted_gaps""")
 def denominator_complete(spark, d):
-    e = encounters(spark, d)
+    """The check over the measure, and over one with rows missing and strange rows added."""
+    e, key = encounters(spark, d), F.col("index_encounter_id")
     m = readmission.readmissions(e)
-    gaps = readmission.denominator_gaps(e, m).agg(F.count(F.lit(1)).alias("gaps"))
-    return m.agg(F.count(F.lit(1)).alias("index_rows")).crossJoin(F.broadcast(gaps))
+    planted = m.where(key % 97 != 0).withColumn("index_encounter_id", F.when(key % 97 == 1, -key).otherwise(key))
+    return _beside((m, "index_rows"), (readmission.denominator_gaps(e, m), "gaps"), (readmission.denominator_gaps(e, planted), "planted_gaps"))
 
 
 @query(f"""WITH {MEASURE} SELECT m.index_encounter_id, m.days_to_readmission, min(date_diff('day', m.discharge_date, e.admit_date)) AS recomputed_gap
@@ -162,13 +173,25 @@ def injection_log(spark, d):
     return claims.injection_log(restated(spark, d).withColumn("encounter_id", F.col("claim_id"))).drop("encounter_id")
 
 
-@query(f"""WITH {RESTATED} SELECT count(*) AS restated_claims, 0::bigint AS unabsorbed FROM arrivals WHERE is_restatement""")
+@query(f"""WITH {RESTATED}, fact AS (SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY received_date DESC) = 1),
+  newest AS (SELECT claim_id, billed_amount AS amount_after, is_restatement FROM arrivals QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY received_date DESC, is_restatement DESC, billed_amount DESC) = 1)
+  SELECT (SELECT count(*) FROM arrivals WHERE is_restatement) AS restated_claims,
+    (SELECT count(*) FROM fact JOIN newest n USING (claim_id) WHERE n.is_restatement AND abs(billed_amount - amount_after) >= 0.005) AS unabsorbed,
+    (SELECT count(*) FROM fact JOIN newest n USING (claim_id) WHERE n.is_restatement AND abs(CASE WHEN claim_id % 7 = 0 THEN billed_amount + 1 ELSE billed_amount END - amount_after) >= 0.005) AS planted_unabsorbed""")
 def absorbed_restatements(spark, d):
+    """The check over the fact, and over one in which every seventh claim shows another amount."""
     arrivals = restated(spark, d)
     fact = facts.claim_fact(arrivals)
     log = claims.injection_log(arrivals.withColumn("encounter_id", F.col("claim_id")))
-    missed = quality.unabsorbed_restatements(fact, log).agg(F.count(F.lit(1)).alias("unabsorbed"))
-    return log.where("is_restatement").agg(F.count(F.lit(1)).alias("restated_claims")).crossJoin(F.broadcast(missed))
+    planted = fact.withColumn("billed_amount", F.when(F.col("claim_id") % 7 == 0, F.col("billed_amount") + 1).otherwise(F.col("billed_amount")))
+    return _beside((log.where("is_restatement"), "restated_claims"), (quality.unabsorbed_restatements(fact, log), "unabsorbed"), (quality.unabsorbed_restatements(planted, log), "planted_unabsorbed"))
+
+
+@query(f"""WITH {RESTATED} SELECT o.claim_id, date_diff('day', o.received_date, r.received_date) AS days_later, o.billed_amount AS amount_first, r.billed_amount AS amount_last, r.amount_before = o.billed_amount AS agrees
+  FROM arrivals o JOIN arrivals r ON o.claim_id = r.claim_id WHERE NOT o.is_restatement AND r.is_restatement""")
+def restatement_pairs(spark, d):
+    """Each restated claim's two arrivals, by a join of the log with itself."""
+    return claims.restatement_pairs(claims.injection_log(restated(spark, d).withColumn("encounter_id", F.col("claim_id"))))
 
 
 @query("""SELECT c_custkey, e.event_type AS state, e.ts AS since FROM customer LEFT JOIN
@@ -192,12 +215,17 @@ def order_fact(spark, d):
     return fact.select("encounter_id", (F.col("o_totalprice") - F.col("returned_lines")).alias("responsibility"), "returned_lines", "other_lines")
 
 
-@query("""SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS returned_lines, (SELECT count(*) FROM lineitem) AS all_lines, 0::bigint AS mismatches""")
+@query("""WITH fact AS (SELECT o_orderkey, coalesce(r, 0) AS r, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+  held AS (SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS r, (SELECT count(*) FROM lineitem) AS n),
+  have AS (SELECT sum(r)::bigint AS r, sum(n)::bigint AS n, sum(r) FILTER (o_orderkey % 5 <> 0) AS pr, sum(n) FILTER (o_orderkey % 5 <> 0) AS pn FROM fact)
+  SELECT have.r AS returned_lines, have.n AS all_lines, (have.r <> held.r)::bigint + (have.n <> held.n)::bigint AS mismatches, (pr <> held.r)::bigint + (pn <> held.n)::bigint AS planted_mismatches FROM have, held""")
 def child_reconcile(spark, d):
+    """The check over the fact, and over one without a fifth of its orders."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), "l_returnflag")
     returned = lines.where("l_returnflag = 'R'")
     fact = facts.with_child_counts(table(spark, d, "orders").select(F.col("o_orderkey").alias("encounter_id")), "encounter_id", returned_lines=returned, all_lines=lines)
-    wrong = quality.child_totals_differ(fact, returned_lines=returned, all_lines=lines).agg(F.count(F.lit(1)).alias("mismatches"))
+    differ = lambda rows: quality.child_totals_differ(rows, returned_lines=returned, all_lines=lines)
+    wrong = _beside((differ(fact), "mismatches"), (differ(fact.where("encounter_id % 5 <> 0")), "planted_mismatches"))
     return fact.agg(F.sum("returned_lines").alias("returned_lines"), F.sum("all_lines").alias("all_lines")).crossJoin(F.broadcast(wrong))
 
 
@@ -237,10 +265,12 @@ STATES = """states AS (SELECT o_custkey AS customer, a.as_of, o_orderstatus AS s
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's latest status as of four dates, in one pass: each order opens at its first as-of date."""
-    grid = F.explode(F.filter(F.array(*[F.lit(a) for a in AS_OF]), lambda a: F.col("o_orderdate").cast("date") <= a))
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), "o_orderdate", "o_orderkey", "o_orderstatus", grid.alias("as_of"))
-    last = rows.groupBy("customer", "as_of").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("m"))
+    """Each customer's latest status as of four dates: the latest order by the first date that sees it, then of all dates before."""
+    seen = F.least(*[F.when(F.col("o_orderdate").cast("date") <= F.lit(a), F.lit(a)) for a in AS_OF], F.lit(None).cast("date"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), "o_orderdate", "o_orderkey", "o_orderstatus", seen.alias("first")).where(F.col("first").isNotNull())
+    opened = rows.groupBy("customer", "first").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("m"))  # as many rows as dates
+    later = F.explode(F.filter(F.array(*[F.lit(a) for a in AS_OF]), lambda a: F.col("first") <= a))
+    last = opened.select("customer", "m", later.alias("as_of")).groupBy("customer", "as_of").agg(F.max("m").alias("m"))
     return last.select("customer", F.col("as_of").cast("timestamp_ntz").alias("as_of"), F.col("m.o_orderstatus").alias("status"))
 
 
@@ -271,12 +301,16 @@ def point_in_time_lookup(spark, d):
     return version_at(o, v, "customer", "o_orderdate").select("o_orderkey", "customer", "status", "valid_from")
 
 
-@query(f"WITH {STATES} SELECT count(*) AS versions_checked, 0::bigint AS gaps, 0::bigint AS idle FROM versions")
+@query(f"""WITH {STATES}, w AS (SELECT *, lead(valid_from) OVER (PARTITION BY customer ORDER BY valid_from) AS next_from, lag(status) OVER (PARTITION BY customer ORDER BY valid_from) AS prev,
+    row_number() OVER (PARTITION BY customer ORDER BY valid_from) AS k FROM versions)
+  SELECT count(*) AS versions_checked, count(*) FILTER (valid_to IS DISTINCT FROM next_from) AS gaps, count(*) FILTER (k > 1 AND status IS NOT DISTINCT FROM prev) AS idle,
+    count(*) FILTER ((CASE WHEN customer % 3 = 0 THEN valid_to + INTERVAL 1 DAY ELSE valid_to END) IS DISTINCT FROM next_from) AS planted_gaps, count(*) FILTER (k > 1) AS planted_idle FROM w""")
 def version_tiling(spark, d):
+    """The checks over the versions, and over some that end a day late or never change."""
     v = history.versions_of(_states(spark, d), "customer", ["status"], "as_of")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    gaps, idle = count(quality.version_gaps(v, "customer"), "gaps"), count(quality.idle_versions(v, "customer", ["status"]), "idle")
-    return count(v, "versions_checked").crossJoin(F.broadcast(gaps)).crossJoin(F.broadcast(idle))
+    late = v.withColumn("valid_to", F.when(F.col("customer") % 3 == 0, F.col("valid_to") + F.expr("interval 1 day")).otherwise(F.col("valid_to")))
+    gaps, idle = (lambda df: quality.version_gaps(df, "customer")), (lambda df: quality.idle_versions(df, "customer", ["status"]))
+    return _beside((v, "versions_checked"), (gaps(v), "gaps"), (idle(v), "idle"), (gaps(late), "planted_gaps"), (idle(v.withColumn("status", F.lit("F"))), "planted_idle"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -306,11 +340,11 @@ def quality_summary(spark, d):
 
 @query("""SELECT count(*) AS lines, count(DISTINCT l_orderkey) AS orders_seen, min(lag) AS least, max(lag) AS most, median(lag) AS middle, count(*) FILTER (lag > 30) AS late,
   100.0::double * count(*) FILTER (lag > 30) / count(DISTINCT l_orderkey) AS late_rate
-  FROM (SELECT l_orderkey, date_diff('day', o_orderdate::date, l_shipdate::date) AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE lag BETWEEN 0 AND 100""")
+  FROM (SELECT l_orderkey, date_diff('day', o_orderdate::date, l_shipdate::date) AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
 def lag_distribution(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     lag = days_between(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(o, "l_orderkey").select("l_orderkey", lag.alias("lag")).where("lag between 0 and 100")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(o, "l_orderkey").select("l_orderkey", lag.alias("lag"))
     return rows.agg(
         F.count(F.lit(1)).alias("lines"), F.countDistinct("l_orderkey").alias("orders_seen"), F.min("lag").alias("least"), F.max("lag").alias("most"),
         F.percentile("lag", 0.5).alias("middle"), F.count_if(F.col("lag") > 30).alias("late"),
