@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import days_between, hash_pick, round2
+from tidemark.operators.window import DateWindow
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,15 @@ def with_restatements(originals: DataFrame, key: str, rule: Restatement) -> Data
     )
 
 
+def billed_in(claims: DataFrame, window: DateWindow, rule: Restatement) -> DataFrame:
+    """All claims of every encounter of which a claim, or its restatement, may arrive in the window."""
+    day = F.col("LASTBILLEDDATE1").cast("date")
+    near = claims.where((day >= F.lit(window.start - timedelta(days=rule.max_lag_days))) & (day < F.lit(window.end)))
+    return claims.join(near.select("APPOINTMENTID").distinct(), "APPOINTMENTID", "left_semi")
+
+
 def claim_arrivals(claims: DataFrame, encounters: DataFrame, rule: Restatement = Restatement()) -> DataFrame:
-    """Every arrival of every claim, over all history."""
+    """Every arrival of the claims given; all claims of an encounter must be, or none."""
     costs = encounters.select(F.col("Id").alias("encounter_id"), F.col("TOTAL_CLAIM_COST").alias("_cost"), F.col("PAYER_COVERAGE").alias("_cover"))
     billed = claims.select(
         F.col("Id").alias("claim_id"),

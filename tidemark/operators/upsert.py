@@ -14,12 +14,13 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 def admit_newer(batch: DataFrame, held: DataFrame, keys: list[str], received: str) -> DataFrame:
     """Rows of a batch whose key is new, or which arrived strictly later than what is held."""
-    seen = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(received).alias("_h_received"))
+    seen = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col(received).alias("_h_received"), F.lit(True).alias("_h"))
     same = [batch[k] == seen[f"_h_{k}"] for k in keys]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    admitted = F.col("_h_received").isNull() | (F.col(received) > F.col("_h_received"))
+    later = (batch[received] > F.col("_h_received")) | (F.col("_h_received").isNull() & batch[received].isNotNull())
+    admitted = F.col("_h").isNull() | later
     return batch.join(seen, cond, "left").where(admitted).select(*[batch[c] for c in batch.columns])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.upsert import latest_per_key, merge_latest
+from tidemark.sources.merge import merge_into
 from tidemark.sources.store import Store
 
 
@@ -16,8 +16,6 @@ def upsert_stream(arrivals: DataFrame, store: Store, table: str, keys: list[str]
     """Fold each micro-batch into a store table. Replaying a batch changes nothing, since only later arrivals win."""
 
     def fold(batch: DataFrame, _: int) -> None:
-        held = store.get(table)
-        out = latest_per_key(batch, keys, [batch[received].desc()]) if held is None else merge_latest(held, batch, keys, received)
-        store.commit({table: out})
+        merge_into(store, table, batch, keys, received)
 
     return arrivals.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
