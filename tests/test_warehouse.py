@@ -130,13 +130,107 @@ def test_history_and_guard(spark, export, built):
 
 def test_all_assertions_hold(spark, built):
     store, _ = built
-    found = {r["assertion"]: (r["severity"], r["violations"]) for r in quality.summary(warehouse.assertions(store)).collect()}
+    found = {r["assertion"]: (r["severity"], r["violations"]) for r in warehouse.data_tests(store).collect()}
     assert all(n == 0 for severity, n in found.values() if severity == "error"), found
+    assert len(found) == 69  # each declared test, and six between models
     checks = warehouse.warehouse_checks(store, backwards=datetime(2025, 10, 15), as_of=[end for _, end in WINDOWS[:2]], measured=(-1, 0))
     assert checks["nothing-written-from-a-backwards-window"] is None and checks["snapshot-ran-once-per-window"] is None
     assert checks["readmissions-match-the-export"] is not None
 
 
+def folders(store, name):
+    return {k: p["folder"] for k, p in store.manifest()[name]["parts"].items()}
+
+
+def test_a_month_rewrites_its_own_files_only(spark, export, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    land_window(spark, store, export, date(2025, 8, 1), date(2025, 12, 1))
+    warehouse.build(store, ["fct_claim"])
+    before = {n: folders(store, n) for n in ("raw.encounters", "raw.claims", "mart.fct_claim")}
+    land_window(spark, store, export, date(2025, 10, 1), date(2025, 11, 1))
+    for name in ("raw.encounters", "raw.claims"):
+        after = folders(store, name)
+        assert {k for k in after if after[k] != before[name][k]} == {"2025-10"} and after.keys() == before[name].keys()
+    assert warehouse.build(store, ["fct_claim"])["mart.fct_claim"] == 0 and folders(store, "mart.fct_claim") == before["mart.fct_claim"]
+    land_window(spark, store, export, date(2025, 12, 1), date(2025, 12, 3))
+    warehouse.build(store, ["fct_claim"])
+    now = folders(store, "mart.fct_claim")
+    assert 0 < sum(now[k] != f for k, f in before["mart.fct_claim"].items()) < len(now)
+    assert rows(store.read("mart.fct_claim")) == rows(warehouse.fct_claim(store.read("raw.claims")))
+
+
+def test_of_two_commits_at_once_one_fails_and_none_is_lost(spark, tmp_path, monkeypatch):
+    from tidemark.sources.store import ConcurrentCommit
+
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    store.commit({"raw.a": spark.range(1)})
+    publish = store._publish
+    monkeypatch.setattr(store, "_publish", lambda *a: (other.commit({"raw.b": spark.range(2)}), publish(*a)))
+    with pytest.raises(ConcurrentCommit):
+        store.commit({"raw.a": spark.range(5)})
+    assert store.read("raw.a").count() == 1 and store.read("raw.b").count() == 2
+    other.commit({"raw.a": spark.range(7)})
+    assert other.vacuum(keep=1) == 2 and other.read("raw.a").count() == 7 and other.read("raw.b").count() == 2
+    with store.lock(), pytest.raises(ConcurrentCommit), other.lock():
+        pass
+
+
+def test_tables_are_there_before_the_first_landing(spark, export, tmp_path):
+    from tidemark.sources.landing import create_tables
+
+    store = Store(spark, str(tmp_path / "s"))
+    names = create_tables(spark, store, export)
+    assert len(names) == 8 and all(store.read(n).count() == 0 and store.read(n).columns for n in names)
+    assert create_tables(spark, store, export) == []
+    land_window(spark, store, export, *WINDOWS[0])
+    assert store.read("raw.claims").count() > 0
+
+
+def test_backfill_runs_by_month_and_retries(spark, export, tmp_path, monkeypatch):
+    from datetime import timezone
+
+    from tidemark.plans import backfill
+
+    assert list(backfill.months(date(2025, 11, 15), date(2026, 1, 2))) == [(date(2025, 11, 15), date(2025, 12, 1)), (date(2025, 12, 1), date(2026, 1, 1)), (date(2026, 1, 1), date(2026, 1, 2))]
+    failures, land = [OSError("lost")], backfill.land_window
+
+    def landing(*a):
+        if failures:
+            raise failures.pop()
+        return land(*a)
+
+    monkeypatch.setattr(backfill, "land_window", landing)
+    store = Store(spark, str(tmp_path / "s"))
+    reports = backfill.backfill(spark, store, export, date(2025, 8, 1), date(2025, 10, 1), delay=0)
+    assert [r.start for r in reports] == [date(2025, 8, 1), date(2025, 9, 1)] and store.read("mart.fct_claim").count() > 0
+    failures += [OSError("lost")] * 3
+    with pytest.raises(OSError, match="lost"):
+        backfill.backfill(spark, store, export, date(2025, 10, 1), date(2025, 11, 1), delay=0)
+    with pytest.raises(warehouse.StaleSource):
+        warehouse.build(store, fresh_at=datetime(2100, 1, 1, tzinfo=timezone.utc))
+    assert warehouse.require_fresh(store, datetime.now(timezone.utc)) == []
+
+
+def test_check_command_tells_by_its_exit_code(spark, built, capsys):
+    store, _ = built
+    days = [str(end) for _, end in WINDOWS[:2]]
+    assert warehouse.main(["check", "--store", store.root, "--as-of", *days]) == 0
+    assert warehouse.main(["check", "--store", store.root, "--measured", "0", "1"]) == 1 and "FAIL readmissions-match" in capsys.readouterr().out
+    assert warehouse.main(["freshness", "--store", store.root]) == 0
+
+
+def test_planted_violations_are_found(spark, built):
+    store, _ = built
+    bad = store.read("mart.fct_encounter").withColumns({"payer_id": F.lit("nobody"), "patient_id": F.lit(None).cast("string")})
+    held = store.manifest()
+    store.commit({"mart.fct_encounter": bad.unionByName(bad.limit(1))})
+    found = {r["assertion"]: r["violations"] for r in warehouse.data_tests(store).collect()}
+    store._publish(held, store._versions()[-1] + 1)
+    n = bad.count() + 1
+    assert found["fct_encounter: payer_id is in dim_payer"] == found["fct_encounter: patient_id is given"] == n and found["fct_encounter: encounter_id is unique"] == 1
+    assert quality.contract_breaches(bad, T.StructType(bad.schema.fields[::-1])) != []
+
+
 DAY = datetime(2025, 1, 1)
 
 

@@ -85,6 +85,8 @@ def contract_breaches(df: DataFrame, expected: T.StructType) -> list[str]:
     """Differences between a frame's columns and types and its contract; checked before a write."""
     have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in expected}
     out = [f"missing {c}" for c in want if c not in have] + [f"unexpected {c}" for c in have if c not in want]
+    if not out and list(have) != list(want):
+        out.append(f"order is {', '.join(have)}")
     return out + [f"{c} is {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c] != want[c]]
 
 
@@ -96,6 +98,13 @@ def freshness(df: DataFrame, loaded: str, now: Column, warn_hours: int = 24, err
     return newest.select("newest", age.alias("age_hours"), status.alias("status"))
 
 
+def column_summary(df: DataFrame, name: str, wrong: dict[str, Column]) -> DataFrame:
+    """Violations of several conditions on one frame's rows, in one pass: what is wrong, by the check's name."""
+    counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{k}") for k, c in enumerate(wrong.values())])
+    rows = F.array(*[F.struct(F.lit(f"{name}: {check}").alias("assertion"), F.lit("error").alias("severity"), F.col(f"c{k}").alias("violations")) for k, check in enumerate(wrong)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def summary(checks: list[Assertion]) -> DataFrame:
     """Violations per assertion, all in one query."""
     rows = [c.violations().agg(F.count(F.lit(1)).alias("violations")).select(F.lit(c.name).alias("assertion"), F.lit(c.severity).alias("severity"), "violations") for c in checks]

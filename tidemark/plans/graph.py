@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Node:
-    """A model: fn takes its inputs by name. kind: view, table, incremental or snapshot."""
+    """A model: fn takes its inputs by name. kind: view, table, incremental or snapshot.
+
+    merge: of an incremental, its key and the column by which a later row replaces an earlier one.
+    """
 
     name: str
     inputs: tuple[str, ...]
     fn: Callable[..., DataFrame]
     kind: str = "table"
+    merge: tuple[str, str] | None = None
 
 
 @dataclass
@@ -25,11 +29,11 @@ class Graph:
 
     nodes: dict[str, Node] = field(default_factory=dict)
 
-    def model(self, name: str, *inputs: str, kind: str = "table"):
+    def model(self, name: str, *inputs: str, kind: str = "table", merge: tuple[str, str] | None = None):
         """Register a function as a model."""
 
         def add(fn):
-            self.nodes[name] = Node(name, inputs, fn, kind)
+            self.nodes[name] = Node(name, inputs, fn, kind, merge)
             return fn
 
         return add
