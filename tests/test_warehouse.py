@@ -132,7 +132,7 @@ def test_all_assertions_hold(spark, built):
     store, _ = built
     found = {r["assertion"]: (r["severity"], r["violations"]) for r in warehouse.data_tests(store).collect()}
     assert all(n == 0 for severity, n in found.values() if severity == "error"), found
-    assert len(found) == 69  # each declared test, and six between models
+    assert len(found) == 71  # 65 declared on models, and six assertions between them
     checks = warehouse.warehouse_checks(store, backwards=datetime(2025, 10, 15), as_of=[end for _, end in WINDOWS[:2]], measured=(-1, 0))
     assert checks["nothing-written-from-a-backwards-window"] is None and checks["snapshot-ran-once-per-window"] is None
     assert checks["readmissions-match-the-export"] is not None

@@ -179,6 +179,7 @@ NOT_NULL = {
     "stg_providers": "provider_id",
     "stg_payers": "payer_id payer_name",
     "stg_patients_current": "patient_id birthdate _as_of_date",
+    "snap_patient": "patient_id valid_from",
     "dim_provider": "provider_id",
     "dim_payer": "payer_id payer_name",
     "dim_patient": "patient_id birthdate valid_from",
