@@ -82,6 +82,18 @@ def test_small_tiles_lose_nothing(spark, monkeypatch):
     assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute_groups(rows, 3, 85)
 
 
+def test_intermediate_tables_are_deleted(spark, docs):
+    from pathlib import Path
+
+    from tidemark.llm import common
+
+    assert minhash.near_duplicates(docs).count() == len(DOCS)
+    folders = [Path(s.root.removeprefix("file://")) for s in common._OPEN]
+    assert any(f.exists() for f in folders)
+    common.close_all()
+    assert not any(f.exists() for f in folders)
+
+
 # --- language model
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +50,17 @@ def id_draw(doc_id: Column, purpose: str) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(purpose)), F.lit(n)).cast("double") / float(n)
 
 
+_OPEN: list[Scratch] = []
+
+
+@atexit.register
+def close_all() -> None:
+    """Delete the intermediate tables of every query so far; results not yet read need them, so by default at exit."""
+    while _OPEN:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _OPEN.pop().close()
+
+
 class Scratch:
     """Intermediate tables in the shared folder of spark.checkpoint.dir, so that no executor's loss undoes them."""
 
@@ -60,6 +73,7 @@ class Scratch:
             base = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        _OPEN.append(self)
 
     def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write a table, and read it from there."""
@@ -69,8 +83,15 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        """Delete all of them."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], at: int) -> Iterator[pa.RecordBatch]:
