@@ -135,13 +135,16 @@ def test_states_sum_to_one():
         assert math.isclose(sum(p(w, context) for w in [*one, b"unknown"]), 1)
 
 
-@pytest.mark.parametrize("limit", [lm.CHUNK_BYTES, 20_000])
-def test_scores_match_the_definition(spark, monkeypatch, limit):
-    """The whole query path, whichever chunks, buckets and blocks hold an n-gram, without an automaton."""
+@pytest.mark.parametrize(("limit", "fan"), [(lm.CHUNK_BYTES, lm.FAN), (20_000, lm.FAN), (20_000, 2)])
+def test_scores_match_the_definition(spark, monkeypatch, limit, fan):
+    """The whole query path, whichever chunks, hops, buckets and blocks hold an n-gram, without an automaton."""
     rows = texts() + [(10**6 + k, t) for k, (_, t) in enumerate(DOCS)]
+    monkeypatch.setattr(lm, "FAN", fan)
     if limit < lm.CHUNK_BYTES:
         monkeypatch.setattr(lm, "BUCKET", 5_000)
         monkeypatch.setattr(lm, "BLOCK", 500)
+        monkeypatch.setattr(lm, "TEAM", 3)
+        assert (len(lm.Layout.of(sum(len((t or "").encode()) + 1 for _, t in rows)).hops) > 2) == (fan == 2)
     said = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
     p, _ = plain_model([ws for i, ws in said.items() if zlib.crc32(str(i).encode()) % 10])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -22,8 +22,10 @@ its texts can take, under the numbers of its n-grams, so that an arc is found by
 Hashes of words have 64 bits. Those of pairs and triples are cut to the bits of the corpus's size in bytes and
 `SPARE` more, so at every size an n-gram meets another's hash less than once in 2 ** SPARE.
 
-A bucket's rows are one a chunk and order; their number is chunks times buckets, so for corpora of many
-terabytes larger chunks (`chunk_bytes`) keep rows long.
+A bucket's rows are one a chunk and order, and would grow with the square of the corpus. So where there are more
+than 2 ** `FAN` buckets, lists go to their buckets in several hops, each of which names `FAN` more leading bits: up to
+`TEAM` holders' parts of a range are merged into one list, which goes on in their name, and what comes back for it is
+handed to them. A hop moves every n-gram once either way, in lists of some hundred n-grams, at every size.
 
 Defined cases: null and empty texts are the end token alone; without training texts every score is 0 and
 nothing is known; an empty table gives no rows; repeated rows are scored and counted as often as they are
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import islice
@@ -56,6 +58,8 @@ END = b""
 CHUNK_BYTES = 8 << 20
 #: n-grams that a bucket holds, about, and tokens of the texts that are walked at a time.
 BUCKET, BLOCK = 4_000_000, 200_000
+#: Leading bits that a hop adds, and holders of lists whose parts a hop merges, about.
+FAN, TEAM = 12, 4096
 #: Bits of a hash of pairs or triples beyond those of the corpus's size in bytes.
 SPARE = 17
 #: What the shorter context counts for, by the order of the n-gram.
@@ -205,25 +209,35 @@ def read_list(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return values, counts
 
 
+def cut(values: np.ndarray, width: int, by: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of ranges among sorted values of `width` bits, `by` of which name the range; and the bits below those."""
+    low = width - by
+    starts = np.arange(1 << by, dtype=np.uint64) << np.uint64(low) if low < 64 else np.zeros(1, np.uint64)
+    return np.append(np.searchsorted(values, starts), len(values)), values & np.uint64((1 << low) - 1)
+
+
 @dataclass
 class Layout:
-    """How lists are cut: leading bits that name a bucket, and bits of a hash by order."""
+    """How lists are cut: leading bits that name a range after each hop, and bits of a hash by order."""
 
-    bucket: int
+    hops: list[int]
     bits: dict[int, int]
 
     @staticmethod
     def of(size: int) -> Layout:
         """For a corpus of so many bytes."""
-        return Layout(max(0, math.ceil(math.log2(max(1.0, size / 3 / BUCKET)))), {1: 64, 2: (n := min(64, size.bit_length() + SPARE)), 3: n})
+        bucket = max(0, math.ceil(math.log2(max(1.0, size / 3 / BUCKET))))
+        return Layout([*range(FAN, bucket, FAN), bucket], {1: 64, 2: (n := min(64, size.bit_length() + SPARE)), 3: n})
 
-    def cut(self, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The bounds of buckets among sorted names, and the bits below those that name the bucket."""
-        whole = names >> np.uint64(64 - self.bits[n])
-        width = self.bits[n] - self.bucket
-        starts = np.arange(1 << self.bucket, dtype=np.uint64) << np.uint64(width) if width < 64 else np.zeros(1, np.uint64)
-        mask = np.uint64((1 << width) - 1)
-        return np.append(np.searchsorted(whole, starts), len(names)), whole & mask
+    def rows(self, hop: int, holder: int, n: int, values: np.ndarray, counts: np.ndarray, within: int = 0) -> pa.RecordBatch:
+        """Rows (bucket, chunk, order, list) of a holder's sorted values of order n in the range `within` of the hop before."""
+        known = self.hops[hop - 1] if hop else 0
+        by = self.hops[hop] - known
+        bounds, low = cut(values, self.bits[n] - known, by)
+        full = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
+        lists = [write_list(low[bounds[k] : bounds[k + 1]], self.bits[n] - self.hops[hop], counts[bounds[k] : bounds[k + 1]]) for k in full]
+        columns = [pa.array([(within << by) + k for k in full], pa.int64()), pa.array([holder] * len(full), pa.int64()), pa.array([n] * len(full), pa.int8()), pa.array(lists, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=_LISTS.names)
 
 
 _LISTS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("size", T.ByteType()), T.StructField("data", T.BinaryType())])
@@ -235,42 +249,87 @@ def _lists(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
         for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             chunk = Chunk(data.as_py())
             for n in (1, 2, 3):
-                bounds, values = layout.cut(chunk.names[n], n)
-                full = [k for k in range(len(bounds) - 1) if bounds[k] < bounds[k + 1]]
-                lists = [write_list(values[bounds[k] : bounds[k + 1]], layout.bits[n] - layout.bucket, chunk.counts[n][bounds[k] : bounds[k + 1]]) for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([name] * len(full), pa.int64()), pa.array([n] * len(full), pa.int8()), pa.array(lists, pa.binary())], names=_LISTS.names)
+                yield layout.rows(0, name, n, chunk.names[n] >> np.uint64(64 - layout.bits[n]), chunk.counts[n])
 
 
 _STATS = ["tokens", "words", "once", "twice"]
 _SUMS = T.StructType([*_LISTS.fields, *[T.StructField(s, T.LongType()) for s in _STATS]])
 
 
+def _merged(lists: pa.Table, n: int) -> tuple[list[tuple], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of order n, their counts, the distinct values in order with their sums, and which of them each entry has."""
+    rows = [r for r in zip(*[lists.column(c).to_pylist() for c in _LISTS.names], strict=True) if r[2] == n]
+    read = [read_list(r[3]) for r in rows]
+    values, counts = (np.concatenate([np.empty(0, t), *x]) for t, x in zip((np.uint64, np.int64), zip(*read, strict=True) if read else ((), ()), strict=True))
+    order = np.argsort(values, kind="stable")
+    new = np.append(True, values[order[1:]] != values[order[:-1]])[: len(values)]
+    of = np.empty(len(values), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return rows, [c for _, c in read], values[order[new]], np.bincount(of, counts).astype(np.int64), of
+
+
+def _added(rows: list[tuple], counts: list[np.ndarray], totals: np.ndarray, of: np.ndarray) -> Iterator[tuple]:
+    """Rows (bucket, chunk, order, what others add to the list)."""
+    at = 0
+    for (bucket, chunk, n, _), own in zip(rows, counts, strict=True):
+        kind, data = _ints(totals[of[at : at + len(own)]] - own)
+        yield bucket, chunk, n, bytes([kind]) + data
+        at += len(own)
+
+
 def _sums(lists: pa.Table) -> pa.Table:
     """What other chunks add to each list of a bucket, and with the first row the statistics of its words."""
-    out = []
-    stats = [0] * len(_STATS)
+    out, stats = [], [0] * len(_STATS)
     for n in (1, 2, 3):
-        rows = [r for r in zip(*[lists.column(c).to_pylist() for c in _LISTS.names], strict=True) if r[2] == n]
-        if not rows:
-            continue
-        read = [read_list(r[3]) for r in rows]
-        values, counts = (np.concatenate(x) for x in zip(*read, strict=True))
-        order = np.argsort(values, kind="stable")
-        new = np.append(True, values[order[1:]] != values[order[:-1]])
-        of = np.empty(len(values), np.int64)
-        of[order] = np.cumsum(new) - 1
-        totals = np.bincount(of, counts).astype(np.int64)
+        rows, counts, _, totals, of = _merged(lists, n)
         if n == 1:
             stats = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
-        more = totals[of] - counts
-        at = 0
-        for (bucket, chunk, _, _), (_, own) in zip(rows, read, strict=True):
-            kind, data = _ints(more[at : at + len(own)])
-            out.append((bucket, chunk, n, bytes([kind]) + data, *([0] * len(stats) if out else stats)))
-            at += len(own)
-    columns = list(zip(*out, strict=True))
+        out += [(*r, *([0] * len(stats) if out or k else stats)) for k, r in enumerate(_added(rows, counts, totals, of))]
+    return _table(out, _SUMS)
+
+
+def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
     types = [pa.int64(), pa.int64(), pa.int8(), pa.binary(), *[pa.int64()] * len(_STATS)]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_SUMS.names)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema.names)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=schema.names)
+
+
+def _forward(layout: Layout, hop: int) -> Callable:
+    """The function of (range, team) and its lists: one list for all, cut into the ranges of the next hop."""
+
+    def forward(key, lists):
+        bucket, team = (x.as_py() for x in key)
+        merged = ((n, *_merged(lists, n)[2:4]) for n in (1, 2, 3))
+        return pa.Table.from_batches([layout.rows(hop, team, n, values, totals, bucket) for n, values, totals in merged])
+
+    return forward
+
+
+def _back(lists: pa.Table, sums: pa.Table) -> pa.Table:
+    """What others add to each list of a range that a team holds, from what others add to the team's list."""
+    out = []
+    for n in (1, 2, 3):
+        rows, counts, _, totals, of = _merged(lists, n)
+        parts = sorted((fine, data) for fine, size, data in zip(*[sums.column(c).to_pylist() for c in ("fine", "size", "data")], strict=True) if size == n)
+        more = np.concatenate([np.empty(0, np.int64), *[_read_ints(data[0], data[1:]) for _, data in parts]])
+        out += _added(rows, counts, totals + more, of)
+    return _table(out, _LISTS)
+
+
+def _exchange(lists: DataFrame, layout: Layout, hop: int, holders: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What others add to each list, by the list's range and holder; and the sums of whole buckets."""
+    if hop == len(layout.hops) - 1:
+        sums = scratch.keep(lists.groupBy("bucket").applyInArrow(_sums, _SUMS), "sums")
+        return sums, sums
+    teams = math.ceil(holders / TEAM)
+    held = scratch.keep(lists, f"lists-{hop}").withColumn("team", F.pmod(F.xxhash64("chunk", F.lit(hop)), F.lit(teams)))
+    merged = held.groupBy("bucket", "team").applyInArrow(_forward(layout, hop + 1), _LISTS)
+    above, sums = _exchange(merged, layout, hop + 1, teams, scratch)
+    by = layout.hops[hop + 1] - layout.hops[hop]
+    back = above.select(F.shiftright("bucket", by).alias("bucket"), F.col("chunk").alias("team"), F.col("bucket").alias("fine"), "size", "data")
+    out = scratch.keep(held.groupBy("bucket", "team").cogroup(back.groupBy("bucket", "team")).applyInArrow(_back, _LISTS), f"added-{hop}")
+    scratch.drop(f"lists-{hop}")
+    return out, sums
 
 
 # --- scores
@@ -382,10 +441,11 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
     chunks = scratch.keep(rows.mapInArrow(partial(_pack, limit=chunk_bytes), _CHUNKS), "chunks", **small)
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b")).first()["b"] or 0
-    lists = chunks.mapInArrow(partial(_lists, layout=Layout.of(size)), _LISTS)
-    sums = scratch.keep(lists.groupBy("bucket").applyInArrow(_sums, _SUMS), "sums")
+    layout = Layout.of(size)
+    lists = chunks.mapInArrow(partial(_lists, layout=layout), _LISTS)
+    added, sums = _exchange(lists, layout, 0, chunks.count() if len(layout.hops) > 1 else 1, scratch)
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS]).first()
     seen = s["once"] + 2 * s["twice"]
     totals = Totals(s["tokens"], s["words"], min(0.95, max(0.1, s["once"] / seen)) if seen else 0.5)
-    both = chunks.groupBy("chunk").cogroup(sums.select("chunk", "bucket", "size", "data").groupBy("chunk"))
+    both = chunks.groupBy("chunk").cogroup(added.select("chunk", "bucket", "size", "data").groupBy("chunk"))
     return both.applyInArrow(partial(_score, totals=totals), _SCORES).withColumn("train_tokens", F.lit(totals.n).cast("long"))
