@@ -85,6 +85,10 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Free the files of shuffles that were read: Spark deletes them once the driver's JVM sees that nothing refers to them."""
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         """Delete all of them."""
         self._delete(self.root)

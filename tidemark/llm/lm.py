@@ -320,6 +320,7 @@ def _exchange(lists: DataFrame, layout: Layout, hop: int, holders: int, scratch:
     """What others add to each list, by the list's range and holder; and the sums of whole buckets."""
     if hop == len(layout.hops) - 1:
         sums = scratch.keep(lists.groupBy("bucket").applyInArrow(_sums, _SUMS), "sums")
+        scratch.release()
         return sums, sums
     teams = math.ceil(holders / TEAM)
     held = scratch.keep(lists, f"lists-{hop}").withColumn("team", F.pmod(F.xxhash64("chunk", F.lit(hop)), F.lit(teams)))
@@ -329,6 +330,7 @@ def _exchange(lists: DataFrame, layout: Layout, hop: int, holders: int, scratch:
     back = above.select(F.shiftright("bucket", by).alias("bucket"), F.col("chunk").alias("team"), F.col("bucket").alias("fine"), "size", "data")
     out = scratch.keep(held.groupBy("bucket", "team").cogroup(back.groupBy("bucket", "team")).applyInArrow(_back, _LISTS), f"added-{hop}")
     scratch.drop(f"lists-{hop}")
+    scratch.release()
     return out, sums
 
 
