@@ -86,7 +86,10 @@ class Scratch:
             self._delete(f"{self.root}/{name}")
 
     def release(self) -> None:
-        """Free the files of shuffles that were read: Spark deletes them once the driver's JVM sees that nothing refers to them."""
+        """Free the files of shuffles that were read, but for the last query's, whose plan Spark's listeners hold until another ends.
+
+        Spark deletes them once the driver's JVM sees that nothing refers to them.
+        """
         self.spark._jvm.System.gc()
 
     def close(self) -> None:

@@ -320,7 +320,6 @@ def _exchange(lists: DataFrame, layout: Layout, hop: int, holders: int, scratch:
     """What others add to each list, by the list's range and holder; and the sums of whole buckets."""
     if hop == len(layout.hops) - 1:
         sums = scratch.keep(lists.groupBy("bucket").applyInArrow(_sums, _SUMS), "sums")
-        scratch.release()
         return sums, sums
     teams = math.ceil(holders / TEAM)
     held = scratch.keep(lists, f"lists-{hop}").withColumn("team", F.pmod(F.xxhash64("chunk", F.lit(hop)), F.lit(teams)))
@@ -447,6 +446,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     lists = chunks.mapInArrow(partial(_lists, layout=layout), _LISTS)
     added, sums = _exchange(lists, layout, 0, chunks.count() if len(layout.hops) > 1 else 1, scratch)
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS]).first()
+    scratch.release()  # the lists' files, before the texts are shuffled
     seen = s["once"] + 2 * s["twice"]
     totals = Totals(s["tokens"], s["words"], min(0.95, max(0.1, s["once"] / seen)) if seen else 0.5)
     both = chunks.groupBy("chunk").cogroup(added.select("chunk", "bucket", "size", "data").groupBy("chunk"))
