@@ -8,6 +8,8 @@ from collections import Counter
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import DOCS
-from tidemark.llm import decontam, lm, minhash, queries
+from tidemark.llm import common, decontam, lm, minhash, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -307,3 +309,52 @@ def test_the_whole_pipeline_takes_odd_documents(spark, tmp_path):
         df.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path)).collect()
         assert bool(out) == (df is odd) and all(len(r["ids"]) == 4 * r["n_tokens"] for r in out)
+
+
+def test_lists_joined_by_chance_hand_out_no_sets(spark, monkeypatch):
+    """Classes in one long chain of shared lists, without a pair near the threshold: none is dealt with its set."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(-(2**31), 2**31, (200, minhash.COORDINATES)).astype(np.int32)
+    sig[1::2, 7], sig[2::2, 9] = sig[::2, 7], sig[1:-1:2, 9]
+    node = rng.permutation(200).tolist()
+    rows = [(node[k], 50, sig[k].tolist()) for k in range(200)]
+    sized = spark.createDataFrame(rows, "node long, n long, sig array<int>")
+    posted = spark.createDataFrame([(node[k], (c << 32) + int(sig[k, c])) for k in range(200) for c in (7, 9)], "node long, pair long")
+    sets = spark.createDataFrame([(node[k], list(range(50 * k, 50 * k + 50))) for k in range(200)], "node long, s array<long>")
+    counts, keep = {}, common.Scratch.keep
+
+    def counted(self, df, name, **options):
+        out = keep(self, df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    links = minhash._between(posted, None, sized, sets, common.Scratch(spark, "chain"), 39, 85)
+    assert links is None or links.isEmpty()
+    assert counts["open"] > 0
+    assert counts.get("members", counts.get("dealt", 0)) == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_classes_with_enough_equal_coordinates_share_a_band(percent):
+    matches = minhash.least_matches(percent)
+    stretches = minhash.bands(matches)
+    assert [x for start, end in stretches for x in range(start, end)] == list(range(minhash.COORDINATES))
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        equal = np.isin(np.arange(minhash.COORDINATES), rng.permutation(minhash.COORDINATES)[:matches])
+        assert any(equal[start:end].all() for start, end in stretches)
+
+
+def test_a_pair_counts_in_its_first_common_band(spark):
+    matches = 39
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 2**31, (2, minhash.COORDINATES)).astype(np.int32)
+    sig[1, -matches:] = sig[0, -matches:]
+
+    def block(k):
+        return minhash._Block(pa.array([{"node": k, "comp": k, "n": 50, "sig": sig[k].tolist()}], pa.struct([("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int32()))])))
+
+    first = next(i for i, (start, _) in enumerate(minhash.bands(matches)) if start >= minhash.COORDINATES - matches)
+    met = {i: minhash._meet(block(0), block(1), i, matches, 85) for i in range(len(minhash.bands(matches)))}
+    assert met == {i: {0, 1} if i == first else set() for i in met}

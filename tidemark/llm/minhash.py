@@ -9,10 +9,13 @@
 3. Each posting list is merged with its least class only, which costs a list's length, not its square.
    Collisions are counted per pair of classes; the coordinates whose lists were skipped are then probed in
    both signatures, and pairs whose count reaches `matches` are confirmed on full sets.
-4. Lists that still hold several components form families. In a family, classes outside its largest
-   component are compared with all others in tiles, whose size is bounded in classes and in shingles, by
-   matching coordinates and then by full sets. No link is lost, and a component of many copies is never
-   compared with itself.
+4. Classes of lists that still hold several components are cut into as many bands of coordinates as a
+   pair may have unequal ones, and one more: a pair with `matches` equal ones has a whole band in common.
+   Classes that share a band are a family, so families stay small as the corpus grows and chance joins
+   lists. In a family, classes outside its largest component are compared with all others in tiles: first
+   by matching coordinates alone, where a pair counts in its first common band only; what has a partner
+   there then by full sets, in tiles bounded in classes and in shingles. No link is lost, and a component
+   of many copies is never compared with itself.
 5. Links are contracted to components by repeated minima.
 
 `matches` lies more than five standard deviations below what a pair at the threshold has, so that a pair is
@@ -44,6 +47,8 @@ from tidemark.llm.common import Scratch, slices
 COORDINATES = 64
 #: Classes a tile holds of either side, about; as many shingles as SHINGLES count as one more.
 TILE, SHINGLES = 128, 1024
+#: The same where a tile holds signatures only.
+SIGNATURES = 1024
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -142,16 +147,34 @@ def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_MET = T.StructType([T.StructField("fam", T.LongType()), T.StructField("node", T.LongType())])
 
 
 class _Block:
-    """Classes of a family as arrays."""
+    """Classes of a family as arrays; sets: None where only signatures are dealt."""
 
     def __init__(self, classes: pa.StructArray) -> None:
-        node, comp, n, sig, sets = classes.flatten()
+        node, comp, n, sig, *sets = classes.flatten()
         self.node, self.comp, self.n = node.to_numpy(), comp.to_numpy(), n.to_numpy()
         self.sig = sig.flatten().to_numpy().reshape(-1, COORDINATES)
-        self.sets = np.split(sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())[:-1])
+        self.sets = np.split(sets[0].flatten().to_numpy(), np.cumsum(sets[0].value_lengths().to_numpy())[:-1]) if sets else None
+
+
+def _meet(asks: _Block, others: _Block, band: int, matches: int, percent: int) -> set[int]:
+    """Classes of two blocks that have a partner in another component whose first common band is this."""
+    starts = [start for start, _ in bands(matches)]
+    met: set[int] = set()
+    for q in range(len(asks.node)):
+        n = int(asks.n[q])
+        equal = others.sig == asks.sig[q]
+        near = (others.comp != asks.comp[q]) & (np.minimum(others.n, n) * 100 >= np.maximum(others.n, n) * percent) & (equal.sum(axis=1) >= matches)
+        candidates = np.flatnonzero(near)
+        if len(candidates):
+            candidates = candidates[np.logical_and.reduceat(equal[candidates], starts, axis=1).argmax(axis=1) == band]
+        if len(candidates):
+            met.add(int(asks.node[q]))
+            met.update(others.node[candidates].tolist())
+    return met
 
 
 def _tile(asks: _Block, others: _Block, matches: int, percent: int) -> list[tuple[int, int]]:
@@ -180,18 +203,36 @@ def _tile(asks: _Block, others: _Block, matches: int, percent: int) -> list[tupl
     return found
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A tile's two blocks come one after the other, the asking one last."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], _Block, _Block]]:
+    """Each tile's fam, band, i and j, the block that asks and the one that is asked, which comes first."""
     others = key = None
     for batch in batches:
         for k in range(batch.num_rows):
-            *at, ask = (batch.column(c)[k].as_py() for c in ("fam", "i", "j", "ask"))
+            *at, ask = (batch.column(c)[k].as_py() for c in ("fam", "band", "i", "j", "ask"))
             block = _Block(batch.column("block")[k].values)
             if not ask:
                 others, key = block, at
             elif at == key:
-                links = _tile(block, others, matches, percent)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+                yield at, block, others
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for (fam, band, *_), asks, others in _pairs(batches):
+        met = list(_meet(asks, others, band, matches, percent))
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array([fam] * len(met), pa.int64()), pa.array(met, pa.int64())], names=_MET.names)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for _, asks, others in _pairs(batches):
+        links = _tile(asks, others, matches, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+
+def bands(matches: int) -> list[tuple[int, int]]:
+    """Stretches (from, to) of the coordinates, of which classes with `matches` equal ones have a whole one in common."""
+    edges = np.linspace(0, COORDINATES, COORDINATES - matches + 2).astype(int).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def least_matches(percent: int) -> int:
@@ -224,17 +265,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     skipped = F.expr(f"size(filter(sequence(0, {COORDINATES - 1}), k -> sig[k] = hsig[k] and getbit(merged, k) = 0))")
     near = met.join(sized, "node").join(head, "head").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("collisions") + skipped >= matches)).select("node", "head", "n", "m")
     near = scratch.keep(near, "near")
+    scratch.release()
 
     # full sets of the classes that the lists still hold, read again from one text of each
     chosen = nodes.select("node", F.col("id").alias("doc_id")).join(posted, "node", "left_semi")
     sets = scratch.keep(rows.join(chosen, "doc_id").select("node", "text").mapInArrow(partial(_full, size=size), _SETS).dropDuplicates(["node"]), "sets")
+    scratch.release()
 
     common = F.size(F.array_intersect("s", "hs"))
     links = near.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("s").alias("hs")), "head").where(_linked(common, F.col("n"), F.col("m"), percent))
     links = scratch.keep(links.select(F.col("node").alias("a"), F.col("head").alias("b")), "links")
+    scratch.release()
     first = components(links, scratch, "first")
     later = _between(posted, first, sized, sets, scratch, matches, percent)
-    scratch.drop("posted", "near", "sets")
+    scratch.drop("posted", "near", "sets", "families")
     final = first
     if later is not None:
         whole = components(links.unionByName(later), scratch, "all")
@@ -251,24 +295,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets: DataFrame, scratch: Scratch, matches: int, percent: int) -> DataFrame | None:
     """Links between different components that share a posting list; None if no list holds two."""
     placed = posted.withColumn("comp", F.col("node")) if comps is None else posted.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("head")).where("lo <> hi").select("pair", "head")
-    open_ = scratch.keep(placed.join(mixed, "pair").select("node", "comp", "head"), "open")
-    families = components(open_.select(F.col("node").alias("a"), F.col("head").alias("b")), scratch, "family")
-    if families is None:
+    mixed = placed.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pair")
+    open_ = scratch.keep(placed.join(mixed, "pair").select("node", "comp").distinct(), "open")
+    if open_.isEmpty():
         return None
+    scratch.release()
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.slice("sig", start + 1, end - start)).alias("fam")) for i, (start, end) in enumerate(bands(matches))]))
+    cells = open_.join(sized, "node").select("node", "comp", keys.alias("key")).select("node", "comp", "key.band", "key.fam")
+    several = cells.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
+    families = scratch.keep(cells.join(several, "fam").withColumn("w", F.lit(1)), "families")
+    scratch.release()
+    met = scratch.keep(_deal(families, sized, SIGNATURES).mapInArrow(partial(_meetings, matches=matches, percent=percent), _MET), "met")
+    scratch.release()
     weighed = sized.select("node", (1 + F.expr(f"n div {SHINGLES}")).alias("w"))
-    members = open_.select("node", "comp").distinct().join(families.withColumnRenamed("comp", "fam"), "node").join(weighed, "node")
+    members = scratch.keep(met.distinct().withColumn("band", F.lit(0)).join(open_, "node").join(weighed, "node"), "members")
+    scratch.release()
+    return scratch.keep(_deal(members, sized.join(sets, "node"), TILE).mapInArrow(partial(_tiles, matches=matches, percent=percent), _LINK), "later")
+
+
+def _deal(members: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+    """Tiles of the families in members (fam, band, node, comp, w): two rows each, the block that is asked and the one that asks."""
     counted = members.groupBy("fam", "comp").agg(F.sum("w").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
-    size = counted.select("fam", F.col("largest.comp").alias("main"), F.ceil((F.col("m") - F.col("largest.c")) / TILE).cast("int").alias("asks"), F.ceil(F.col("m") / TILE).cast("int").alias("all"))
-    dealt = scratch.keep(members.join(size, "fam").where("asks > 0"), "dealt")
+    size = counted.select("fam", F.col("largest.comp").alias("main"), F.ceil((F.col("m") - F.col("largest.c")) / tile).cast("int").alias("asks"), F.ceil(F.col("m") / tile).cast("int").alias("all"))
+    dealt = members.join(size.where("asks > 0"), "fam")
     # blocks of classes are rows: the classes outside the main component ask, all of the family are asked
     spread = F.xxhash64("node")
     asked = F.struct(F.lit(False).alias("ask"), F.pmod(spread, F.col("all")).cast("int").alias("place"))
     asking = F.struct(F.lit(True).alias("ask"), F.pmod(spread, F.col("asks")).cast("int").alias("place"))
     sides = F.explode(F.when(F.col("comp") == F.col("main"), F.array(asked)).otherwise(F.array(asked, asking)))
-    classes = dealt.join(sized, "node").join(sets, "node").select("fam", "asks", "all", F.struct("node", "comp", "n", "sig", "s").alias("c"), sides.alias("side"))
-    blocks = classes.groupBy("fam", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
+    content = F.struct("node", "comp", *[c for c in classes.columns if c != "node"])
+    blocks = dealt.join(classes, "node").select("fam", "band", "asks", "all", content.alias("c"), sides.alias("side"))
+    blocks = blocks.groupBy("fam", "band", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), F.col("all")).otherwise(F.col("asks")) - 1))
-    rows = blocks.withColumn("other", across).select("fam", F.when(F.col("ask"), F.col("place")).otherwise(F.col("other")).alias("i"), F.when(F.col("ask"), F.col("other")).otherwise(F.col("place")).alias("j"), "ask", "block")
-    tiles = rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "ask")
-    return scratch.keep(tiles.mapInArrow(partial(_tiles, matches=matches, percent=percent), _LINK), "later")
+    at = [F.when(F.col("ask"), F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("i", "place", "other"), ("j", "other", "place"))]
+    rows = blocks.withColumn("other", across).select("fam", "band", *at, "ask", "block")
+    return rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "band", "i", "j", "ask")
