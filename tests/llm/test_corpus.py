@@ -358,3 +358,46 @@ def test_a_pair_counts_in_its_first_common_band(spark):
     first = next(i for i, (start, _) in enumerate(minhash.bands(matches)) if start >= minhash.COORDINATES - matches)
     met = {i: minhash._meet(block(0), block(1), i, matches, 85) for i in range(len(minhash.bands(matches)))}
     assert met == {i: {0, 1} if i == first else set() for i in met}
+
+
+def counted_tables(monkeypatch):
+    """Rows of each intermediate table, filled as they are written."""
+    counts, keep = {}, common.Scratch.keep
+
+    def counted(self, df, name, **options):
+        out = keep(self, df, name, **options)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    return counts
+
+
+def test_full_sets_only_where_signatures_meet(spark, monkeypatch):
+    """Texts that share half of their words with either neighbour are in many lists, but near nothing: no set is made."""
+    counts = counted_tables(monkeypatch)
+    random.seed(9)
+    parts = [" ".join(f"w{random.randrange(10**9)}" for _ in range(60)) for _ in range(81)]
+    rows = [(i, f"{parts[i]} {parts[i + 1]}") for i in range(80)]
+    assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80) == brute_groups(rows, 5, 80)
+    assert counts["posted"] > 0
+    assert counts["sets"] + counts.get("sets-met", 0) == 0
+
+
+def test_rounds_of_tiles_lose_nothing_and_stay_small(spark, monkeypatch):
+    """A family far larger than a round: the same groups, and no round deals more than a part of the tiles."""
+    for name, value in (("TILE", 4), ("SIGNATURES", 4), ("SHINGLES", 10**6), ("LEAST_ROUND", 8000)):
+        monkeypatch.setattr(minhash, name, value)
+    random.seed(8)
+    rows = [(i, " ".join([f"w{k}" if random.random() > 0.05 else f"y{random.randrange(99)}" for k in range(50)])) for i in range(60)]
+    dealt, deal = [], minhash._deal
+
+    def counting(members, *rest):
+        out = deal(members, *rest)
+        dealt.append(out.agg(F.sum(F.size("block"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(minhash, "_deal", counting)
+    assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute_groups(rows, 3, 85)
+    assert len(dealt) > 2
+    assert max(dealt) <= 2 * 8000

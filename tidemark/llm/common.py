@@ -85,11 +85,14 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
-    def release(self) -> None:
+    def release(self, last: bool = False) -> None:
         """Free the files of shuffles that were read, but for the last query's, whose plan Spark's listeners hold until another ends.
 
-        Spark deletes them once the driver's JVM sees that nothing refers to them.
+        last: the last query's too, by a query of one row after it. Spark deletes the files once the driver's JVM
+        sees that nothing refers to them.
         """
+        if last:
+            self.spark.range(1).collect()
         self.spark._jvm.System.gc()
 
     def close(self) -> None:

@@ -15,7 +15,9 @@
    lists. In a family, classes outside its largest component are compared with all others in tiles: first
    by matching coordinates alone, where a pair counts in its first common band only; what has a partner
    there then by full sets, in tiles bounded in classes and in shingles. No link is lost, and a component
-   of many copies is never compared with itself.
+   of many copies is never compared with itself. Tiles are dealt in rounds, each of which moves no more than a
+   multiple of the corpus: the work of families may grow with their square, the disk it takes does not.
+   Full sets are made only of classes whose signatures met a partner's, in lists or in families.
 5. Links are contracted to components by repeated minima.
 
 `matches` lies more than five standard deviations below what a pair at the threshold has, so that a pair is
@@ -32,7 +34,7 @@ equal length the one of least hash comes first; an empty table gives no rows; ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -49,6 +51,8 @@ COORDINATES = 64
 TILE, SHINGLES = 128, 1024
 #: The same where a tile holds signatures only.
 SIGNATURES = 1024
+#: Signatures, and sets by weight, that a round of tiles moves for each class of the corpus, about; and at least.
+ROUND, SETS_ROUND, LEAST_ROUND = 2, 1 / 8, 1 << 15
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -256,6 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     listed = posts.join(shared, "pair").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("cnt", "pair"))).alias("ps"))
     take = F.size("ps") - (COORDINATES - prefix)  # pairs of its own come first in the prefix
     posted = scratch.keep(listed.where(take > 0).select("node", F.explode(F.slice("ps", F.lit(1), take)).alias("p")).select("node", "p.pair"), "posted")
+    scratch.release(last=True)
 
     heads = posted.groupBy("pair").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
     merged = F.bit_or(F.expr("shiftleft(1L, cast(shiftright(pair + 2147483648L, 32) as int))"))  # a pair is its coordinate * 2 ** 32 + a signed value
@@ -265,20 +270,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     skipped = F.expr(f"size(filter(sequence(0, {COORDINATES - 1}), k -> sig[k] = hsig[k] and getbit(merged, k) = 0))")
     near = met.join(sized, "node").join(head, "head").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("collisions") + skipped >= matches)).select("node", "head", "n", "m")
     near = scratch.keep(near, "near")
-    scratch.release()
+    scratch.release(last=True)
 
-    # full sets of the classes that the lists still hold, read again from one text of each
-    chosen = nodes.select("node", F.col("id").alias("doc_id")).join(posted, "node", "left_semi")
-    sets = scratch.keep(rows.join(chosen, "doc_id").select("node", "text").mapInArrow(partial(_full, size=size), _SETS).dropDuplicates(["node"]), "sets")
-    scratch.release()
+    def full(wanted: DataFrame, name: str) -> DataFrame:
+        """Full sets of some classes, read again from one text of each."""
+        chosen = nodes.select("node", F.col("id").alias("doc_id")).join(wanted, "node", "left_semi")
+        out = scratch.keep(rows.join(chosen, "doc_id").select("node", "text").mapInArrow(partial(_full, size=size), _SETS).dropDuplicates(["node"]), name)
+        scratch.release(last=True)
+        return out
 
+    sets = full(near.select("node").unionByName(near.select(F.col("head").alias("node"))), "sets")
     common = F.size(F.array_intersect("s", "hs"))
     links = near.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("s").alias("hs")), "head").where(_linked(common, F.col("n"), F.col("m"), percent))
     links = scratch.keep(links.select(F.col("node").alias("a"), F.col("head").alias("b")), "links")
-    scratch.release()
+    scratch.drop("near", "sets")
+    scratch.release(last=True)
     first = components(links, scratch, "first")
-    later = _between(posted, first, sized, sets, scratch, matches, percent)
-    scratch.drop("posted", "near", "sets", "families")
+    later = _between(posted, first, sized, partial(full, name="sets-met"), scratch, matches, percent)
+    scratch.drop("posted", "families", "members", "sets-met")
     final = first
     if later is not None:
         whole = components(links.unionByName(later), scratch, "all")
@@ -288,45 +297,67 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = labels.join(least, "comp").select("node", "component_id")
     out = signed.select("doc_id", "n", "node", "text_hash").join(named, "node", "left")
+    scratch.release(last=True)
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash")
 
 
-def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets: DataFrame, scratch: Scratch, matches: int, percent: int) -> DataFrame | None:
-    """Links between different components that share a posting list; None if no list holds two."""
+def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], scratch: Scratch, matches: int, percent: int) -> DataFrame | None:
+    """Links between different components that share a posting list; None if no list holds two. sets: full sets, or what reads those of some classes."""
     placed = posted.withColumn("comp", F.col("node")) if comps is None else posted.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pair")
     open_ = scratch.keep(placed.join(mixed, "pair").select("node", "comp").distinct(), "open")
     if open_.isEmpty():
         return None
-    scratch.release()
+    scratch.release(last=True)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.slice("sig", start + 1, end - start)).alias("fam")) for i, (start, end) in enumerate(bands(matches))]))
     cells = open_.join(sized, "node").select("node", "comp", keys.alias("key")).select("node", "comp", "key.band", "key.fam")
     several = cells.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("fam")
     families = scratch.keep(cells.join(several, "fam").withColumn("w", F.lit(1)), "families")
-    scratch.release()
-    met = scratch.keep(_deal(families, sized, SIGNATURES).mapInArrow(partial(_meetings, matches=matches, percent=percent), _MET), "met")
-    scratch.release()
+    scratch.release(last=True)
+    classes = sized.count()
+    met = _compare(families, sized, SIGNATURES, partial(_meetings, matches=matches, percent=percent), _MET, scratch, "met", ROUND * classes)
     weighed = sized.select("node", (1 + F.expr(f"n div {SHINGLES}")).alias("w"))
     members = scratch.keep(met.distinct().withColumn("band", F.lit(0)).join(open_, "node").join(weighed, "node"), "members")
-    scratch.release()
-    return scratch.keep(_deal(members, sized.join(sets, "node"), TILE).mapInArrow(partial(_tiles, matches=matches, percent=percent), _LINK), "later")
+    scratch.release(last=True)
+    sets = sets(members.select("node")) if callable(sets) else sets
+    return _compare(members, sized.join(sets, "node"), TILE, partial(_tiles, matches=matches, percent=percent), _LINK, scratch, "later", SETS_ROUND * classes)
 
 
-def _deal(members: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
-    """Tiles of the families in members (fam, band, node, comp, w): two rows each, the block that is asked and the one that asks."""
+def _compare(members: DataFrame, classes: DataFrame, tile: int, compare: Callable, schema: T.StructType, scratch: Scratch, name: str, most: float) -> DataFrame:
+    """What compare finds in the tiles of the families in members (fam, band, node, comp, w), in rounds that move about `most` by weight."""
+    sizes = scratch.keep(_sizes(members, tile), f"{name}-sizes")
+    moved = sizes.agg(F.sum(F.col("m") * F.col("asks") + F.col("outside") * F.col("all"))).first()[0] or 0
+    rounds = max(1, math.ceil(moved / max(most, LEAST_ROUND)))
+    for turn in range(rounds):
+        scratch.keep(_deal(members, sizes, classes, rounds, turn).mapInArrow(compare, schema), f"{name}/{turn}")
+        scratch.release(last=True)
+    return scratch.spark.read.schema(schema).parquet(*[f"{scratch.root}/{name}/{turn}" for turn in range(rounds)])
+
+
+def _sizes(members: DataFrame, tile: int) -> DataFrame:
+    """Per family: main, its largest component; m and outside, the weight of all and of those outside it; all and asks, their blocks."""
     counted = members.groupBy("fam", "comp").agg(F.sum("w").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("largest"), F.sum("c").alias("m"))
-    size = counted.select("fam", F.col("largest.comp").alias("main"), F.ceil((F.col("m") - F.col("largest.c")) / tile).cast("int").alias("asks"), F.ceil(F.col("m") / tile).cast("int").alias("all"))
-    dealt = members.join(size.where("asks > 0"), "fam")
+    size = counted.select("fam", F.col("largest.comp").alias("main"), "m", (F.col("m") - F.col("largest.c")).alias("outside"))
+    return size.withColumns({"asks": F.ceil(F.col("outside") / tile).cast("int"), "all": F.ceil(F.col("m") / tile).cast("int")}).where("asks > 0")
+
+
+def _deal(members: DataFrame, sizes: DataFrame, classes: DataFrame, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """A round's tiles: two rows each, the block that is asked and the one that asks. A block that asks does so in one round."""
+    dealt = members.join(sizes.select("fam", "main", "asks", "all"), "fam")
     # blocks of classes are rows: the classes outside the main component ask, all of the family are asked
     spread = F.xxhash64("node")
     asked = F.struct(F.lit(False).alias("ask"), F.pmod(spread, F.col("all")).cast("int").alias("place"))
     asking = F.struct(F.lit(True).alias("ask"), F.pmod(spread, F.col("asks")).cast("int").alias("place"))
     sides = F.explode(F.when(F.col("comp") == F.col("main"), F.array(asked)).otherwise(F.array(asked, asking)))
+    due = lambda place: F.pmod(F.xxhash64("fam", place), F.lit(rounds)) == turn
+    asks = F.filter(F.sequence(F.lit(0), F.col("asks") - 1), due)
+    held = F.when(F.col("side.ask"), due(F.col("side.place"))).otherwise(F.size(asks) > 0)
     content = F.struct("node", "comp", *[c for c in classes.columns if c != "node"])
-    blocks = dealt.join(classes, "node").select("fam", "band", "asks", "all", content.alias("c"), sides.alias("side"))
+    placed = dealt.select("fam", "band", "node", "comp", "asks", "all", sides.alias("side")).where(held)
+    blocks = placed.join(classes, "node").select("fam", "band", "asks", "all", content.alias("c"), "side")
     blocks = blocks.groupBy("fam", "band", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
-    across = F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), F.col("all")).otherwise(F.col("asks")) - 1))
+    across = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("all") - 1)).otherwise(asks))
     at = [F.when(F.col("ask"), F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("i", "place", "other"), ("j", "other", "place"))]
     rows = blocks.withColumn("other", across).select("fam", "band", *at, "ask", "block")
     return rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "band", "i", "j", "ask")
