@@ -401,3 +401,47 @@ def test_rounds_of_tiles_lose_nothing_and_stay_small(spark, monkeypatch):
     assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85) == brute_groups(rows, 3, 85)
     assert len(dealt) > 2
     assert max(dealt) <= 2 * 8000
+
+
+def rows_made(spark, run):
+    """Rows that each join and each explosion of a plan made while run() ran, all of its queries together."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    listed = store.executionsList()
+    before = max((listed.apply(k).executionId() for k in range(listed.size())), default=-1)
+    run()
+    bus.waitUntilEmpty()
+    listed, out = store.executionsList(), Counter()
+    for at in (listed.apply(k).executionId() for k in range(listed.size())):
+        if at <= before:
+            continue
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size())):
+                if re.search("Join|Generate", node.name()) and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    name = re.sub(r"#\d+L?|Build\w+, |Broadcast|SortMerge|Shuffled|Hash", "", node.desc())
+                    out[name] += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return out
+
+
+def test_rounds_do_not_join_a_family_again(spark, monkeypatch):
+    """One family of four times as many classes, sixteen times as many tiles and eight rounds for one: four times the rows."""
+    for name, value in (("SIGNATURES", 32), ("ROUND", 0), ("LEAST_ROUND", 2048)):
+        monkeypatch.setattr(minhash, name, value)
+    dealt, deal = [], minhash._deal
+    monkeypatch.setattr(minhash, "_deal", lambda *args: dealt.append(1) or deal(*args))
+
+    def made(n):
+        sig = np.random.default_rng(11).integers(-(2**31), 2**31, (n, minhash.COORDINATES)).astype(np.int32)
+        sig[:, :3] = 7
+        sized = spark.createDataFrame([(k, 50, sig[k].tolist()) for k in range(n)], "node long, n long, sig array<int>")
+        posted = spark.createDataFrame([(k, 7) for k in range(n)], "node long, pair long")
+        sets = spark.createDataFrame([(k, [k]) for k in range(n)], "node long, s array<long>")
+        dealt.clear()
+        return rows_made(spark, lambda: minhash._between(posted, None, sized, sets, common.Scratch(spark, "rounds"), 39, 85))
+
+    small, large = made(128), made(512)
+    assert len(dealt) >= 8
+    assert large
+    assert {k: v for k, v in large.items() if v > max(6 * small[k], 2 * 512)} == {}

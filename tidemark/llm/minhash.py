@@ -17,6 +17,7 @@
    there then by full sets, in tiles bounded in classes and in shingles. No link is lost, and a component
    of many copies is never compared with itself. Tiles are dealt in rounds, each of which moves no more than a
    multiple of the corpus: the work of families may grow with their square, the disk it takes does not.
+   Classes are gathered to blocks once; rounds deal blocks, so a family's rows do not grow with its rounds.
    Full sets are made only of classes whose signatures met a partner's, in lists or in families.
 5. Links are contracted to components by repeated minima.
 
@@ -53,6 +54,8 @@ TILE, SHINGLES = 128, 1024
 SIGNATURES = 1024
 #: Signatures, and sets by weight, that a round of tiles moves for each class of the corpus, about; and at least.
 ROUND, SETS_ROUND, LEAST_ROUND = 2, 1 / 8, 1 << 15
+#: Rounds' worth of blocks that are kept at once, about, and how: a reader may hold a row group, so it has few of them.
+HELD, GROUPS = 2, {"parquet.block.row.count.limit": 64}
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -325,14 +328,33 @@ def _between(posted: DataFrame, comps: DataFrame | None, sized: DataFrame, sets:
 
 
 def _compare(members: DataFrame, classes: DataFrame, tile: int, compare: Callable, schema: T.StructType, scratch: Scratch, name: str, most: float) -> DataFrame:
-    """What compare finds in the tiles of the families in members (fam, band, node, comp, w), in rounds that move about `most` by weight."""
+    """What compare finds in the tiles of the families in members (fam, band, node, comp, w).
+
+    Families are taken in turns, each of which makes the blocks of its own once, about HELD * `most` by weight; blocks are
+    dealt to tiles in rounds that move about `most`. So a class is joined once for each family that it is in, however
+    many tiles its blocks are in.
+    """
+    most = max(most, LEAST_ROUND)
     sizes = scratch.keep(_sizes(members, tile), f"{name}-sizes")
-    moved = sizes.agg(F.sum(F.col("m") * F.col("asks") + F.col("outside") * F.col("all"))).first()[0] or 0
-    rounds = max(1, math.ceil(moved / max(most, LEAST_ROUND)))
-    for turn in range(rounds):
-        scratch.keep(_deal(members, sizes, classes, rounds, turn).mapInArrow(compare, schema), f"{name}/{turn}")
-        scratch.release(last=True)
-    return scratch.spark.read.schema(schema).parquet(*[f"{scratch.root}/{name}/{turn}" for turn in range(rounds)])
+    weight = lambda df, w: df.agg(F.sum(w)).first()[0] or 0
+    turns = max(1, math.ceil(weight(sizes, F.col("m") + F.col("outside")) / (HELD * most)))
+    found = []
+    for turn in range(turns):
+        mine = F.pmod(F.xxhash64("fam"), F.lit(turns)) == turn
+        own = sizes.where(mine)
+        rounds = math.ceil(weight(own, F.col("m") * F.col("asks") + F.col("outside") * F.col("all")) / most)
+        blocks = _blocks(members.where(mine), own, classes)
+        if rounds > 1:
+            blocks = scratch.keep(blocks, f"{name}-blocks/{turn}", **GROUPS)
+            scratch.release(last=True)
+        for k in range(rounds):
+            found.append(f"{name}/{turn}-{k}")
+            scratch.keep(_deal(blocks, rounds, k).mapInArrow(compare, schema), found[-1])
+            scratch.release(last=True)
+        scratch.drop(f"{name}-blocks/{turn}")
+    if not found:
+        return scratch.spark.createDataFrame([], schema)
+    return scratch.spark.read.schema(schema).parquet(*[f"{scratch.root}/{x}" for x in found])
 
 
 def _sizes(members: DataFrame, tile: int) -> DataFrame:
@@ -342,22 +364,25 @@ def _sizes(members: DataFrame, tile: int) -> DataFrame:
     return size.withColumns({"asks": F.ceil(F.col("outside") / tile).cast("int"), "all": F.ceil(F.col("m") / tile).cast("int")}).where("asks > 0")
 
 
-def _deal(members: DataFrame, sizes: DataFrame, classes: DataFrame, rounds: int = 1, turn: int = 0) -> DataFrame:
-    """A round's tiles: two rows each, the block that is asked and the one that asks. A block that asks does so in one round."""
+def _blocks(members: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Families' blocks of classes, as rows: the classes outside the main component ask, all of the family are asked."""
     dealt = members.join(sizes.select("fam", "main", "asks", "all"), "fam")
-    # blocks of classes are rows: the classes outside the main component ask, all of the family are asked
     spread = F.xxhash64("node")
     asked = F.struct(F.lit(False).alias("ask"), F.pmod(spread, F.col("all")).cast("int").alias("place"))
     asking = F.struct(F.lit(True).alias("ask"), F.pmod(spread, F.col("asks")).cast("int").alias("place"))
     sides = F.explode(F.when(F.col("comp") == F.col("main"), F.array(asked)).otherwise(F.array(asked, asking)))
+    content = F.struct("node", "comp", *[c for c in classes.columns if c != "node"])
+    placed = dealt.select("fam", "band", "node", "comp", "asks", "all", sides.alias("side"))
+    placed = placed.join(classes, "node").select("fam", "band", "asks", "all", content.alias("c"), "side")
+    return placed.groupBy("fam", "band", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
+
+
+def _deal(blocks: DataFrame, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """A round's tiles: two rows each, the block that is asked and the one that asks. A block that asks does so in one round."""
     due = lambda place: F.pmod(F.xxhash64("fam", place), F.lit(rounds)) == turn
     asks = F.filter(F.sequence(F.lit(0), F.col("asks") - 1), due)
-    held = F.when(F.col("side.ask"), due(F.col("side.place"))).otherwise(F.size(asks) > 0)
-    content = F.struct("node", "comp", *[c for c in classes.columns if c != "node"])
-    placed = dealt.select("fam", "band", "node", "comp", "asks", "all", sides.alias("side")).where(held)
-    blocks = placed.join(classes, "node").select("fam", "band", "asks", "all", content.alias("c"), "side")
-    blocks = blocks.groupBy("fam", "band", "asks", "all", "side.ask", "side.place").agg(F.collect_list("c").alias("block"))
+    held = F.when(F.col("ask"), due(F.col("place"))).otherwise(F.size(asks) > 0)
     across = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("all") - 1)).otherwise(asks))
     at = [F.when(F.col("ask"), F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (("i", "place", "other"), ("j", "other", "place"))]
-    rows = blocks.withColumn("other", across).select("fam", "band", *at, "ask", "block")
+    rows = blocks.where(held).withColumn("other", across).select("fam", "band", *at, "ask", "block")
     return rows.repartition("fam", "i", "j").sortWithinPartitions("fam", "band", "i", "j", "ask")
