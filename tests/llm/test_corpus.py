@@ -445,3 +445,23 @@ def test_rounds_do_not_join_a_family_again(spark, monkeypatch):
     assert len(dealt) >= 8
     assert large
     assert {k: v for k, v in large.items() if v > max(6 * small[k], 2 * 512)} == {}
+
+
+def test_turns_of_families_lose_nothing(spark, monkeypatch):
+    """Many turns and rounds: the same groups, each class exploded once a family and side, and no block left behind."""
+    from pathlib import Path
+
+    for name, value in (("TILE", 8), ("SIGNATURES", 8), ("SHINGLES", 10**6), ("LEAST_ROUND", 1500), ("HELD", 0.5)):
+        monkeypatch.setattr(minhash, name, value, raising=name != "HELD")
+    counts, scratches, start = counted_tables(monkeypatch), [], common.Scratch.__init__
+    monkeypatch.setattr(common.Scratch, "__init__", lambda self, *args: scratches.append(self) or start(self, *args))
+    random.seed(12)
+    rows = [(i, " ".join([f"w{k}" if random.random() > 0.05 else f"y{random.randrange(99)}" for k in range(50)])) for i in range(60)]
+    got = []
+    made = rows_made(spark, lambda: got.extend(found_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)))
+    assert got == brute_groups(rows, 3, 85)
+    assert sum(name.startswith("met/") for name in counts) > 2
+    sides = [v for k, v in made.items() if "Generate explode(CASE WHEN (comp = main)" in k]
+    assert sides
+    assert sum(sides) <= 2 * (counts["families"] + counts["members"])
+    assert not list(Path(scratches[0].root.removeprefix("file://")).glob("*-blocks/*"))
