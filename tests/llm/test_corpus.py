@@ -465,3 +465,32 @@ def test_turns_of_families_lose_nothing(spark, monkeypatch):
     assert sides
     assert sum(sides) <= 2 * (counts["families"] + counts["members"])
     assert not list(Path(scratches[0].root.removeprefix("file://")).glob("*-blocks/*"))
+
+
+def test_batches_between_jvm_and_python_are_small(spark, monkeypatch):
+    """Long texts and blocks of families reach a worker a few at a time, whatever the session's limits were."""
+
+    def sizes(batches, **_):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["a", "b"])
+
+    def seen(run):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        got = run().collect()
+        return sum(r["a"] for r in got), max(r["a"] for r in got), max(r["b"] for r in got)
+
+    monkeypatch.setattr(common, "_keep", sizes)
+    texts = spark.range(3000).select(F.col("id").alias("a"), F.lit(7).cast("long").alias("b")).coalesce(1)
+    assert seen(lambda: common.keep_rows(texts, None, "b"))[:2] == (3000, 1024)
+    monkeypatch.setattr(common, "_rows", sizes)
+    long = texts.select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    rows, _, most = seen(lambda: common.map_rows(long, None, pa.schema([("a", pa.int64()), ("b", pa.int64())])))
+    assert rows == 3000
+    assert most < 6 << 20
+
+    members = spark.range(2000).select(F.lit(1).cast("long").alias("fam"), F.lit(0).alias("band"), F.col("id").alias("node"), F.col("id").alias("comp"), F.lit(1).alias("w"))
+    classes = spark.range(2000).select(F.col("id").alias("node"), F.lit(50).cast("long").alias("n"), F.array_repeat(F.col("id").cast("int"), minhash.COORDINATES).alias("sig"))
+    rows, _, most = seen(lambda: minhash._compare(members, classes, 64, sizes, minhash._LINK, common.Scratch(spark, "sizes"), "sizes", 1 << 20))
+    assert rows == 2 * 32 * 32
+    assert most < 6 << 20

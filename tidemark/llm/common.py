@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch hands to Python code at a time, so that long texts are not held together.
 SLICE = 512
+#: What the JVM hands to a worker at a time. It grows a batch by doubling and both sides hold one for every task, so Spark's
+#: 10,000 rows or 64 MB take some hundred MB beside an executor's heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:
@@ -29,6 +33,21 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE)
 
 
+def _tidied(batches: Iterator[pa.RecordBatch], function: Callable) -> Iterator[pa.RecordBatch]:
+    """A task's function; then what it has freed goes back to the system, as the worker's allocators keep it for long else."""
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call beside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of `BATCH`, which holds for the session from then on, as plans are made later."""
+    for key, most in BATCH.items():
+        df.sparkSession.conf.set(key, most)
+    return df.mapInArrow(partial(_tidied, function=function), schema)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     one = make()
     for batch in slices(batches):
@@ -41,7 +60,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: pa.Schema) ->
     """One output row per input row. make() runs once per task and returns the function of a row."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    return df.mapInArrow(partial(_rows, make=make, schema=schema), from_arrow_schema(schema))
+    return in_arrow(df, partial(_rows, make=make, schema=schema), from_arrow_schema(schema))
 
 
 def id_draw(doc_id: Column, purpose: str) -> Column:
@@ -112,4 +131,4 @@ def _keep(batches: Iterator[pa.RecordBatch], make: Callable[[], Callable], at: i
 
 def keep_rows(df: DataFrame, make: Callable[[], Callable], column: str) -> DataFrame:
     """The rows of df for whose column the function that make() returns is true; all columns pass untouched."""
-    return df.mapInArrow(partial(_keep, make=make, at=df.columns.index(column)), df.schema)
+    return in_arrow(df, partial(_keep, make=make, at=df.columns.index(column)), df.schema)

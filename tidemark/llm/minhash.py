@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, slices
+from tidemark.llm.common import Scratch, in_arrow, slices
 
 COORDINATES = 64
 #: Classes a tile holds of either side, about; as many shingles as SHINGLES count as one more.
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.keep(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sign, size=size), _SIGNED), "signed")
+    signed = scratch.keep(in_arrow(rows.withColumn("text_hash", F.xxhash64("text")), partial(_sign, size=size), _SIGNED), "signed")
     matches = least_matches(percent)
     prefix = COORDINATES - matches + 1
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     def full(wanted: DataFrame, name: str) -> DataFrame:
         """Full sets of some classes, read again from one text of each."""
         chosen = nodes.select("node", F.col("id").alias("doc_id")).join(wanted, "node", "left_semi")
-        out = scratch.keep(rows.join(chosen, "doc_id").select("node", "text").mapInArrow(partial(_full, size=size), _SETS).dropDuplicates(["node"]), name)
+        out = scratch.keep(in_arrow(rows.join(chosen, "doc_id").select("node", "text"), partial(_full, size=size), _SETS).dropDuplicates(["node"]), name)
         scratch.release(last=True)
         return out
 
@@ -349,7 +349,7 @@ def _compare(members: DataFrame, classes: DataFrame, tile: int, compare: Callabl
             scratch.release(last=True)
         for k in range(rounds):
             found.append(f"{name}/{turn}-{k}")
-            scratch.keep(_deal(blocks, rounds, k).mapInArrow(compare, schema), found[-1])
+            scratch.keep(in_arrow(_deal(blocks, rounds, k), compare, schema), found[-1])
             scratch.release(last=True)
         scratch.drop(f"{name}-blocks/{turn}")
     if not found:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, id_draw, keep_rows, map_rows, slices
+from tidemark.llm.common import Scratch, id_draw, in_arrow, keep_rows, map_rows, slices
 
 #: Word lists. Fixed values.
 THREATS = "kill hurt destroy attack beat shoot stab punish burn töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
@@ -234,7 +234,7 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model(fixed, [1.0] * GRADES)
-    counted = sample.mapInArrow(_count, T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())]))
+    counted = in_arrow(sample, _count, T.StructType([T.StructField("word", T.StringType()), T.StructField("clean", T.LongType()), T.StructField("toxic", T.LongType())]))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     best = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
